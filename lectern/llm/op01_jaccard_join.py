@@ -14,7 +14,8 @@ pivots, what is left of a cell is joined directly, under the same filters.
 
 Results are exact: every pair of sets that shares a cell is verified, or is within a ball (its
 two members then have the same class), or is ruled out by the triangle inequality, by sizes, or by
-the count of shingles that occur nowhere else. Copies are one set and never meet each other.
+the count of shingles that it shares with the
+pivot and with anyone. Copies are one set and never meet each other.
 
 Null or empty texts have no shingles and are linked with nothing; rows without doc_id are left
 out; repeated rows are copies; further columns of the input are not read.
@@ -47,12 +48,25 @@ def _linked(num: int) -> F.Column:
     return 100 * F.col("both").cast("long") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("both"))
 
 
+def _most(n: str, lone: str, both: str, other_n: str, other_lone: str, other_both: str) -> F.Column:
+    """The largest possible intersection of two members, given what each shares with one pivot and how many members nobody shares."""
+    rest, other = F.col(n) - F.col(lone) - F.col(both), F.col(other_n) - F.col(other_lone) - F.col(other_both)
+    return (F.least(F.col(both), F.col(other_both)) + F.least(rest, other)).cast("long")
+
+
 def _may(num: int) -> F.Column:
-    """False where sizes and lone members already forbid a link of a and b."""
-    most = F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")).cast("long")
+    """False where sizes, lone members and shares with the pivot already forbid a link of a and b."""
+    most = _most("na", "la", "ba", "nb", "lb", "bb")
     return 100 * most >= num * (F.col("na").cast("long") + F.col("nb") - most)
 
 
+def _hope(num: int) -> F.Column:
+    """False where a member outside the ball can be linked to none inside: by what it shares at all, and the least size inside."""
+    most = (F.col("n") - F.col("lone")).cast("long")
+    most = F.least(most, F.col("both") + F.least(F.col("n") - F.col("lone") - F.col("both"), F.col("slack")))
+    return 100 * most >= num * (F.greatest(F.col("smallest").cast("long"), most) + F.col("n") - most)
+
+
 def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between ids of sets; the classes they span are those of all links."""
     t, eps = 1 - num / 100, 1e-9
@@ -65,23 +79,25 @@ def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
     found, rest = [], []
     for _ in range(rounds):
         pivots = cells.groupBy("cell").agg(F.max_by(F.struct("cid", "n"), F.struct("central", "cid")).alias("p")).select("cell", F.col("p.cid").alias("p"))
-        near = cells.join(pivots, "cell").where("cid <> p")
+        near = cells.select("cell", "cid", "n", "lone", "central").join(pivots, "cell").where("cid <> p")
         known = written(_verified(near.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct(), sets).withColumn("far", _far()).withColumn("linked", _linked(num)), "pivots")
         found.append(known.where("linked").select("a", "b"))
-        near = near.join(known.select(F.col("a").alias("cid"), F.col("b").alias("p"), "far", "linked"), ["cid", "p"])
-        shell = near.where(~F.col("linked")).groupBy("cell").agg(F.count("*").alias("outside"), F.min("far").alias("least"))
+        near = near.join(known.select(F.col("a").alias("cid"), F.col("b").alias("p"), "far", "both", "linked"), ["cid", "p"])
+        inside, outside = F.when(F.col("linked"), F.col("n")), F.when(~F.col("linked"), F.col("far"))
+        spare = F.when(F.col("linked"), F.col("n") - F.col("lone") - F.col("both"))
+        shell = near.groupBy("cell").agg(F.count(outside).alias("outside"), F.min(outside).alias("least"), F.min(inside).alias("smallest"), F.max(spare).alias("slack")).where("outside > 0")
         near = written(near.join(shell, "cell").where(~F.col("linked") | (F.col("far") >= F.col("least") - t - eps)), "near")
-        out = near.where(~F.col("linked") & (F.col("far") <= 2 * t + eps)).select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("far").alias("fa"))
-        inn = near.where("linked").select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("far").alias("fb"))
+        out = near.where(~F.col("linked") & (F.col("far") <= 2 * t + eps) & _hope(num)).select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("far").alias("fa"), F.col("both").alias("ba"))
+        inn = near.where("linked").select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("far").alias("fb"), F.col("both").alias("bb"))
         rest.append(out.join(inn, "cell").where((F.col("fa") - F.col("fb") <= t + eps) & _may(num)).select("a", "b"))
-        left = near.where(~F.col("linked") & (F.col("outside") > 1)).select(F.xxhash64("cell", F.lit(1)).alias("cell"), "cid", "n", "lone", "central", F.col("far").alias("f"))
+        left = near.where(~F.col("linked") & (F.col("outside") > 1)).select(F.xxhash64("cell", F.lit(1)).alias("cell"), "cid", "n", "lone", "central", F.col("far").alias("f"), F.col("both").alias("w"))
         drop(cells)
         cells = written(left, "cells")
         if cells.isEmpty():
             break
     else:
-        x = cells.select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("f").alias("fa"))
-        y = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("f").alias("fb"))
+        x = cells.select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("f").alias("fa"), F.col("w").alias("ba"))
+        y = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("f").alias("fb"), F.col("w").alias("bb"))
         rest.append(x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= t + eps) & _may(num)).select("a", "b"))
     for i, r in enumerate(rest):
         pairs = r if i == 0 else pairs.unionByName(r)  # noqa: F821
