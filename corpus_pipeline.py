@@ -52,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return op02_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op02_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("substrings", substrings), ("decontamination", decontamination), ("packing", packing)]

@@ -1,7 +1,7 @@
 """Toxicity: a hashed bag-of-words classifier with a counterfactual penalty.
 
-Features are the lower-cased words of a text and the first bytes of each, hashed to a fixed number
-of weights; a text's logit is bias + sum of its words' weights / sqrt(number of words). Fitted by
+Features are the lower-cased words of a text and the beginnings of longer ones, hashed to a fixed number
+of weights and scaled by how differently the two labels have them; a text's logit is bias + sum of its words' weights / sqrt(number of words). Fitted by
 adaptive gradient steps on the driver, over at most `most` labelled rows (by hash of doc_id: the
 same rows on any cluster), features of whole texts.
 
@@ -28,7 +28,7 @@ from . import kernel as K
 from .common import table
 
 BITS = 19
-PREFIXES = (5, 7)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Identity terms by kind, in the languages of the corpus.
 IDENTITY = [
     "women men girls boys woman man female male frauen männer femmes hommes mujeres hombres transgender nonbinary",
@@ -43,14 +43,11 @@ IDENTITY = [
 def _features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature ids, one row per word; word offsets per text)."""
     h, woff, a, b = K.words(buf, off, K.ALNUM)
-    cols = [h]
-    for size in PREFIXES:
-        p = np.zeros(len(a), np.uint64)
-        for j in range(size):
-            at = a + j
-            inside = at < b
-            p += np.where(inside, K.BYTE[K.LOWER[buf[np.where(inside, at, a)]]], np.uint64(0)) * K.ROUND[j]
-        cols.append(K.mix(p + K.ROUND[50 + size % 10]))
+    cols, p, size = [h], np.zeros(len(a), np.uint64), b - a
+    for j in range(max(PREFIXES)):
+        p = p + np.where(size > j, K.BYTE[K.LOWER[buf[np.where(size > j, a + j, a)]]] * K.ROUND[j], np.uint64(0))
+        if j + 1 in PREFIXES:  # of longer words only: the beginning itself, as a word, is another feature
+            cols.append(K.mix(p + np.where(size > j + 1, K.ROUND[40 + j], h)))
     ids = np.stack([(c >> np.uint64(64 - BITS)).astype(np.int32) for c in cols], 1) if len(h) else np.zeros((0, len(PREFIXES) + 1), np.int32)
     return ids, woff
 
@@ -60,11 +57,13 @@ def word_ids(words: list[str]) -> np.ndarray:
     return _features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
 
 
-def _pairs() -> tuple[np.ndarray, np.ndarray]:
-    """(word feature, kind) of each identity term, sorted by feature."""
-    ids = [(int(i), k) for k, line in enumerate(IDENTITY) for i in word_ids(line.split())[:, 0]]
-    ids = sorted(dict(ids).items())
-    return np.array([i for i, _ in ids]), np.array([k for _, k in ids])
+def _terms() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word feature, all features, kind) of each identity term, sorted by word feature."""
+    ids = [word_ids(line.split()) for line in IDENTITY]
+    kind = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    rows = np.concatenate(ids)
+    _, first = np.unique(rows[:, 0], return_index=True)
+    return rows[first, 0], rows[first], kind[first]
 
 
 @dataclass
@@ -93,32 +92,50 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float = 0.5, ridge: float = 1e-5, fair: float = 1.0, epochs: int = 12) -> Model:
-    """Logistic loss + ridge + fair * (change of the logit under swaps of identity terms)^2."""
+def contrast(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least: int = 3, power: float = 3.0) -> np.ndarray:
+    """How much each feature tells: a signed power of the log ratio of its document shares in the two labels, 0 where fewer than `least` texts have it."""
+    have = np.zeros((2, 1 << BITS))
+    for (ids, _), label in zip(x, y, strict=True):
+        have[int(label), ids] += 1
+    n = [(y == 0).sum(), (y == 1).sum()]
+    ratio = np.log((have[1] + 1) / (n[1] + 2)) - np.log((have[0] + 1) / (n[0] + 2))
+    ratio[have.sum(0) < least] = 0
+    return np.sign(ratio) * np.abs(ratio) ** power
+
+
+def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float = 0.1, ridge: float = 3e-4, fair: float = 1.0, epochs: int = 15) -> Model:
+    """Logistic loss + ridge + fair * (change of the logit under swaps of identity terms)^2, over features scaled by their contrast."""
     w, b = np.zeros(1 << BITS), 0.0
     if not len(y) or y.min() == y.max():
         return Model(w.astype(np.float32), -50.0 if not len(y) or not y.max() else 50.0)
-    terms, kinds = _pairs()
+    scale = contrast(x, y)
+    words, rows, kinds = _terms()
+    # mentions of groups in each text, and its features that tell something
+    named = []
+    slim = []
+    for i, (ids, v) in enumerate(x):
+        at = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+        named.append([(float(v[j]), int(at[j])) for j in np.flatnonzero(words[at] == ids)])
+        keep = scale[ids] != 0
+        slim.append((ids[keep], v[keep].astype(np.float64) * scale[ids[keep]]))
     g2, gb2 = np.full(1 << BITS, 1e-8), 1e-8
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 64):
-            rows = order[lo : lo + 64]
-            idx = np.concatenate([x[i][0] for i in rows])
-            val = np.concatenate([x[i][1] for i in rows]).astype(np.float64)
-            of = np.repeat(np.arange(len(rows)), [len(x[i][0]) for i in rows])
-            z = b + np.bincount(of, w[idx] * val, len(rows))
-            e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[rows]) / len(rows)
+            part = order[lo : lo + 64]
+            idx = np.concatenate([slim[i][0] for i in part])
+            val = np.concatenate([slim[i][1] for i in part])
+            of = np.repeat(np.arange(len(part)), [len(slim[i][0]) for i in part])
+            z = b + np.bincount(of, w[idx] * val, len(part))
+            e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[part]) / len(part)
             gi, gv = [idx], [e[of] * val]
-            at = np.searchsorted(terms, idx)
-            named = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == idx))
-            for j in named:
-                like = terms[kinds == kinds[at[j]]]
+            for v, t in (m for i in part for m in named[i]):
+                like = np.flatnonzero(kinds == kinds[t])
                 other = like[rng.integers(len(like))]
-                change = 2 * fair * val[j] ** 2 * (w[idx[j]] - w[other]) / len(rows)
-                gi.append(np.array([idx[j], other]))
-                gv.append(np.array([change, -change]))
+                change = v * float((w[rows[t]] * scale[rows[t]]).sum() - (w[rows[other]] * scale[rows[other]]).sum())
+                gi += [rows[t], rows[other]]
+                gv += [2 * fair * change * v * scale[rows[t]] / len(part), -2 * fair * change * v * scale[rows[other]] / len(part)]
             u, inv = np.unique(np.concatenate(gi), return_inverse=True)
             g = np.bincount(inv, np.concatenate(gv), len(u)) + ridge * w[u]
             g2[u] += g * g
@@ -126,14 +143,14 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float = 0.5
             gb = e.sum()
             gb2 += gb * gb
             b -= rate * gb / np.sqrt(gb2)
-    return Model(w.astype(np.float32), float(b))
+    return Model((w * scale).astype(np.float32), float(b))
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Model:
     """Fits on rows of docs(doc_id, text) with a label of labels(doc_id, toxic) that aren't held out, at most `most` of them."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     # which rows: chosen among ids alone, before any text is moved

@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import (
     op01_jaccard_join,
     op02_packing,
+    op03_vector_index,
+    op04_paragraphs,
     op05_html_text,
     op06_preferences,
     op07_exact_substrings,
@@ -16,6 +18,8 @@ from . import (
 QUERIES = {
     "op1_ngram_jaccard_join": op01_jaccard_join.op1_ngram_jaccard_join,
     "op2_packing": op02_packing.op2_packing,
+    "op3_vector_dedup": op03_vector_index.op3_vector_dedup,
+    "op4_paragraph_dedup": op04_paragraphs.op4_paragraph_dedup,
     "op5_html_text": op05_html_text.op5_html_text,
     "op6_preferences": op06_preferences.op6_preferences,
     "op7_exact_substrings": op07_exact_substrings.op7_exact_substrings,
