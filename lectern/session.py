@@ -30,6 +30,8 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, so that Python workers can import it."""
+    # rows are whole texts: an Arrow batch of the default 10,000 of them is what Python workers would have to hold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
