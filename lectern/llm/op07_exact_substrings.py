@@ -33,7 +33,7 @@ from .common import buckets, table, written
 from .shingle_index import pack, unpack
 
 LENGTH, ANCHOR = 200, 32
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 _ROOT = 0xD1342543DE82EF95
 _UP = _DOWN = np.ones(1, np.uint64)
 
@@ -133,7 +133,7 @@ def _deal_anchors(parts: int, length: int):
                     seen[lo] = seen.get(lo, 0) + len(text)
                 held.append([h, context, row[lo + text], number.astype(np.int32)])
                 size += len(h)
-                if size > 250_000:
+                if size > 150_000:
                     keys, *cols = (np.concatenate(c) for c in zip(*held, strict=True))
                     yield _packed(_send(keys, cols, parts))
                     held, size = [], 0
@@ -289,7 +289,7 @@ def _deal_windows(parts: int, length: int):
                         number = np.searchsorted(at, w).astype(np.int32)
                         held.append([roll.ranges(w - lo, w - lo + length), np.full(len(w), row.as_py(), np.int64), number])
                         size += len(w)
-                        if size > 500_000:
+                        if size > 300_000:
                             yield flush()
                             held, size = [], 0
         if held:
