@@ -83,14 +83,18 @@ def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
         known = written(_verified(near.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct(), sets).withColumn("far", _far()).withColumn("linked", _linked(num)), "pivots")
         found.append(known.where("linked").select("a", "b"))
         near = near.join(known.select(F.col("a").alias("cid"), F.col("b").alias("p"), "far", "both", "linked"), ["cid", "p"])
+        near = written(near, "near")
+        # what a pivot's ball and shell hold doesn't depend on the cell: each pair of members meets once for a pivot
+        around = near.select("p", "cid", "n", "lone", "far", "both", "linked").distinct()
         inside, outside = F.when(F.col("linked"), F.col("n")), F.when(~F.col("linked"), F.col("far"))
         spare = F.when(F.col("linked"), F.col("n") - F.col("lone") - F.col("both"))
-        shell = near.groupBy("cell").agg(F.count(outside).alias("outside"), F.min(outside).alias("least"), F.min(inside).alias("smallest"), F.max(spare).alias("slack")).where("outside > 0")
-        near = written(near.join(shell, "cell").where(~F.col("linked") | (F.col("far") >= F.col("least") - t - eps)), "near")
-        out = near.where(~F.col("linked") & (F.col("far") <= 2 * t + eps) & _hope(num)).select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("far").alias("fa"), F.col("both").alias("ba"))
-        inn = near.where("linked").select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("far").alias("fb"), F.col("both").alias("bb"))
-        rest.append(out.join(inn, "cell").where((F.col("fa") - F.col("fb") <= t + eps) & _may(num)).select("a", "b"))
-        left = near.where(~F.col("linked") & (F.col("outside") > 1)).select(F.xxhash64("cell", F.lit(1)).alias("cell"), "cid", "n", "lone", "central", F.col("far").alias("f"), F.col("both").alias("w"))
+        shell = around.groupBy("p").agg(F.min(outside).alias("least"), F.min(inside).alias("smallest"), F.max(spare).alias("slack")).where("least is not null and smallest is not null")
+        around = written(around.join(shell, "p").where(F.when(F.col("linked"), F.col("far") >= F.col("least") - t - eps).otherwise((F.col("far") <= 2 * t + eps) & _hope(num))), "around")
+        out = around.where("not linked").select("p", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("far").alias("fa"), F.col("both").alias("ba"))
+        inn = around.where("linked").select("p", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("far").alias("fb"), F.col("both").alias("bb"))
+        rest.append(out.join(inn, "p").where((F.col("fa") - F.col("fb") <= t + eps) & _may(num)).select("a", "b"))
+        alone = near.where("not linked").groupBy("cell").agg(F.count("*").alias("outside")).where("outside > 1").select("cell")
+        left = near.where("not linked").join(alone, "cell").select(F.xxhash64("cell", F.lit(1)).alias("cell"), "cid", "n", "lone", "central", F.col("far").alias("f"), F.col("both").alias("w"))
         drop(cells)
         cells = written(left, "cells")
         if cells.isEmpty():
