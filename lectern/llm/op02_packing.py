@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import buckets, table, written
 
 WINDOW = 1024
@@ -211,7 +212,7 @@ def _place(where: np.ndarray):
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int = WINDOW, end_id: int = 0) -> DataFrame:
     """docs(doc_id, text) -> one row per piece with its place; see the module's docstring."""
     spark = docs.sparkSession
-    made = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, ranks, window, end_id), PIECES), "pieces")
+    made = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(_pieces(tokenizer, ranks, window, end_id)), PIECES), "pieces")
     pieces = made.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets(spark))))
     each = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = np.zeros(window + 1, np.int64)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import components, table, written
 
 LEAST = 0.9
@@ -185,8 +186,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, sample: int = 8192) -
     vi, _ = grid.traverse((x / np.linalg.norm(x, axis=1, keepdims=True))[:1024])
     asked = np.bincount(np.concatenate([np.unique(r) for r in vi]), minlength=grid.k) * (n / len(vi))
     guests = np.maximum(1, np.ceil(asked / VISIT)).astype(int)
-    meet = listed.select("class", "x").mapInArrow(_deal(grid, dim, homes, guests), _MEET)
-    links = meet.groupBy("first", "home_block", "visit_block").applyInArrow(_verify(least), "a long, b long").distinct()
+    meet = listed.select("class", "x").mapInArrow(K.tidy(_deal(grid, dim, homes, guests)), _MEET)
+    links = meet.groupBy("first", "home_block", "visit_block").applyInArrow(K.tidy(_verify(least)), "a long, b long").distinct()
     rows = good.select("vec_id", "key").join(listed.select("key", "class"), "key").select("vec_id", "class")
     return rows.unionByName(v.where(F.coalesce(F.col("dim") != dim, F.lit(True))).select("vec_id", F.lit(None).cast("long").alias("class"))), written(links, "links")
 

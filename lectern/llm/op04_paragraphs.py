@@ -147,13 +147,13 @@ def paragraph_links(docs: DataFrame, places: DataFrame, num: int = 75) -> DataFr
     """Links (a, b) between classes of equal paragraphs."""
     parts = buckets(docs.sparkSession, 8)
     classes = places.where("h is not null").groupBy("h").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    pairs = classes.select("h", "n", "sig").mapInArrow(_deal(parts), "part int, payload binary").groupBy("part").applyInArrow(_pair, "a long, b long").distinct()
+    pairs = classes.select("h", "n", "sig").mapInArrow(K.tidy(_deal(parts)), "part int, payload binary").groupBy("part").applyInArrow(K.tidy(_pair), "a long, b long").distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     first = places.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"))
     lines = first.join(wanted, "h", "left_semi").groupBy("at.doc_id", "at.row").agg(F.collect_list("at.line").alias("lines"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    sets = text.join(lines, ["doc_id", "row"]).select("text", "lines").mapInArrow(_sets, "h long, tokens array<long>")
+    sets = text.join(lines, ["doc_id", "row"]).select("text", "lines").mapInArrow(K.tidy(_sets), "h long, tokens array<long>")
     sets = written(sets, "sets").dropDuplicates(["h"])
     x, y = sets.select(F.col("h").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("h").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -163,7 +163,7 @@ def paragraph_links(docs: DataFrame, places: DataFrame, num: int = 75) -> DataFr
 def decisions(docs: DataFrame, num: int = 75) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_paragraphs, n_removed, chars_removed (bytes with line ends), removed: the lines that go."""
     docs = docs.where("doc_id is not null")
-    places = written(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(_places, _PLACES), "paragraphs")
+    places = written(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(K.tidy(_places), _PLACES), "paragraphs")
     comp = components(paragraph_links(docs, places, num), "paragraphs").select(F.col("id").alias("h"), "component")
     here = F.struct("doc_id", "row", "line")
     # first places by class, then by component: a place is compared with one of them

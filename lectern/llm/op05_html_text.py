@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import table
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -215,7 +216,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars."""
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(K.tidy(_run), "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

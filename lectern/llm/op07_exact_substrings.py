@@ -316,14 +316,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     parts = buckets(docs.sparkSession, 8)
     # rows that agree in id and text are told apart by a count, as each is a place of its own
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    dealt = base.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(_deal_anchors(parts, length), PACKED)
-    states = dealt.groupBy("part").applyInArrow(_judge_anchors(parts), PACKED).groupBy("part").applyInArrow(_by_row, _BY_ROW)
+    dealt = base.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(K.tidy(_deal_anchors(parts, length)), PACKED)
+    states = dealt.groupBy("part").applyInArrow(K.tidy(_judge_anchors(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW)
     texts = base.join(states, "row", "left").select("doc_id", "row", "text", "numbers", "states")
-    settled = written(texts.mapInArrow(_resolve(length, keep), _OPEN), "matches")
+    settled = written(texts.mapInArrow(K.tidy(_resolve(length, keep)), _OPEN), "matches")
     rims = settled.where("text is not null")
-    told = rims.select("row", "text", "open").mapInArrow(_deal_windows(parts, length), PACKED)
-    told = told.groupBy("part").applyInArrow(_judge_windows(parts), PACKED).groupBy("part").applyInArrow(_by_row, _BY_ROW).select("row", "numbers")
-    cut = rims.join(told, "row", "left").select("doc_id", "row", "text", "sure", "open", "numbers").mapInArrow(_finish(length, keep), RESULT)
+    told = rims.select("row", "text", "open").mapInArrow(K.tidy(_deal_windows(parts, length)), PACKED)
+    told = told.groupBy("part").applyInArrow(K.tidy(_judge_windows(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW).select("row", "numbers")
+    cut = rims.join(told, "row", "left").select("doc_id", "row", "text", "sure", "open", "numbers").mapInArrow(K.tidy(_finish(length, keep)), RESULT)
     return cut.unionByName(settled.where("text is null").select(*[x.split()[0] for x in RESULT.split(", ")]))
 
 

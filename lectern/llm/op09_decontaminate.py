@@ -142,12 +142,19 @@ class Index:
         rep, post, item = rep[ok], post[ok], item[ok]
         cell, back = np.unique(seg[rep] * len(self.ids) + item, return_inverse=True)
         got = np.bincount(back, self.open_impact[post], len(cell))
-        nxt = np.minimum(np.searchsorted(cell, cell + len(self.ids)), max(0, len(cell) - 1))
-        has = cell[nxt] == cell + len(self.ids) if len(cell) else np.zeros(0, bool)
-        total = got + np.where(has, got[nxt] if len(cell) else 0.0, 0.0)
-        good = total >= self.least[cell % len(self.ids)] - 1e-6
-        cell = cell[good]
-        # a passage may begin at the segment before
+        if not len(cell):
+            return none, none
+        # a passage may begin at a segment where none of the item's opening words stand
+        start = np.unique(np.concatenate((cell, cell - len(self.ids))))
+        text = np.searchsorted(base, np.maximum(start, 0) // len(self.ids), "right") - 1
+        start = start[(start >= 0) & (start // len(self.ids) < base[text] + np.maximum(per[text] - 1, 1))]
+
+        def at_segment(x: np.ndarray) -> np.ndarray:
+            i = np.minimum(np.searchsorted(cell, x), len(cell) - 1)
+            return np.where(cell[i] == x, got[i], 0.0)
+
+        total = at_segment(start) + at_segment(start + len(self.ids))
+        cell = start[total >= self.least[start % len(self.ids)] - 1e-6]
         seg, item = cell // len(self.ids), cell % len(self.ids)
         text = np.searchsorted(base, seg, "right") - 1
         return woff[text] + (seg - base[text]) * self.longest, item
@@ -199,7 +206,7 @@ def _run(index: Index):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, block: int = 4_000) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> a row for each item that leaks into a document."""
     items = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     parts = -(-items.count() // block)
@@ -209,7 +216,7 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
         index = Index(got["item_id"].to_pylist(), got["text"].to_pylist())
         if index.longest:
-            found = texts.mapInArrow(_run(index), LEAKS)
+            found = texts.mapInArrow(K.tidy(_run(index)), LEAKS)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], LEAKS)

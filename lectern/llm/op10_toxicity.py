@@ -117,7 +117,7 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float = 0.1
         at = np.minimum(np.searchsorted(words, ids), len(words) - 1)
         named.append([(float(v[j]), int(at[j])) for j in np.flatnonzero(words[at] == ids)])
         keep = scale[ids] != 0
-        slim.append((ids[keep], v[keep].astype(np.float64) * scale[ids[keep]]))
+        slim.append((ids[keep], (v[keep] * scale[ids[keep]]).astype(np.float32)))
     g2, gb2 = np.full(1 << BITS, 1e-8), 1e-8
     rng = np.random.default_rng(7)
     for _ in range(epochs):
@@ -150,13 +150,13 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 4_000) -> Model:
     """Fits on rows of docs(doc_id, text) with a label of labels(doc_id, toxic) that aren't held out, at most `most` of them."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     # which rows: chosen among ids alone, before any text is moved
     picked = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
-    got = rows.mapInArrow(_sparse, "ids binary, values binary, y int").toArrow()
+    got = rows.mapInArrow(K.tidy(_sparse), "ids binary, values binary, y int").toArrow()
     x = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(got["ids"], got["values"], strict=True)]
     y = got["y"].to_numpy().astype(float)
     order = sorted(range(len(x)), key=lambda i: (x[i][0].tobytes(), y[i]))  # the same steps, however rows arrived
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keep, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*kept, "score double", "predicted int"]))
+    return docs.mapInArrow(K.tidy(run), ", ".join([*kept, "score double", "predicted int"]))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,7 +190,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             z = [model.logits(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in K.chunks(off)]
             yield batch.filter(pa.array(np.concatenate(z) < 0 if z else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

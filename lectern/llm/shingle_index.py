@@ -95,7 +95,7 @@ def _deal(parts: int, k: int):
                 cid = (K.mix(cid + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
                 held.append((ids[lo:hi].astype(np.int64), cid, n, sets))
                 size += int(n.sum())
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -171,6 +171,6 @@ def index(docs: DataFrame, k: int = 5, num: int = 75) -> DataFrame:
     first `prefix` of them. lone: how many members no other set has.
     """
     parts = buckets(docs.sparkSession, 8)
-    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_deal(parts, k), PACKED)
-    counted = dealt.groupBy("part").applyInArrow(_count(parts), PACKED)
-    return counted.groupBy("part").applyInArrow(_gather(num), INDEXED)
+    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(_deal(parts, k)), PACKED)
+    counted = dealt.groupBy("part").applyInArrow(K.tidy(_count(parts)), PACKED)
+    return counted.groupBy("part").applyInArrow(K.tidy(_gather(num)), INDEXED)
