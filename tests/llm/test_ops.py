@@ -403,13 +403,14 @@ def test_queries_match_sql(spark, sf):
 
 def test_pipeline(spark, sf):
     import corpus_pipeline as C
+    from lectern.llm.common import written
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("extra", F.lit(1))
     before = docs.count()
     for name, stage in C.STAGES[:-1]:
-        out = stage(spark, docs, sf)
+        out = written(stage(spark, docs, sf), "test")
         assert out.columns == docs.columns, name
-        n = out.count()
+        docs, n = out, out.count()
         assert 0 < n <= before
         before = n
     assert [n for n, _ in C.STAGES] == ["toxicity", "near_copies", "substrings", "decontamination", "packing"]
