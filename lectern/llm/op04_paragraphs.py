@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import buckets, components, table, written
+from .common import buckets, components, release, table, written
 from .shingle_index import pack, unpack
 
 BANDS, ROWS, SHINGLE, LEAST_WORDS = 12, 3, 5, 5
@@ -149,12 +149,14 @@ def paragraph_links(docs: DataFrame, places: DataFrame, num: int = 75) -> DataFr
     classes = places.where("h is not null").groupBy("h").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     pairs = classes.select("h", "n", "sig").mapInArrow(K.tidy(_deal(parts)), "part int, payload binary").groupBy("part").applyInArrow(K.tidy(_pair), "a long, b long").distinct()
     pairs = written(pairs, "pairs")
+    release(docs.sparkSession)  # what the bands were shuffled through isn't needed any more
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     first = places.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"))
     lines = first.join(wanted, "h", "left_semi").groupBy("at.doc_id", "at.row").agg(F.collect_list("at.line").alias("lines"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     sets = text.join(lines, ["doc_id", "row"]).select("text", "lines").mapInArrow(K.tidy(_sets), "h long, tokens array<long>")
     sets = written(sets, "sets").dropDuplicates(["h"])
+    release(docs.sparkSession)
     x, y = sets.select(F.col("h").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("h").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(x, "a").join(y, "b").where(100 * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")

@@ -44,6 +44,8 @@ MARKS = set(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar toolbar "
     "comment comments commentlist disqus respond replies reply discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login search pagination pager widget widgets skip hidden".split()
 )
+# On an article itself only these count.
+NOT_ARTICLE = set("ad ads advert advertisement sponsored promo comment comments reply related recommended".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -56,26 +58,29 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _in_article(node: Node | None) -> bool:
+    while node and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _surrounds(tag: str, attrs: str, inside: Node) -> bool:
     if tag in NEVER:
         return True
-    if tag == "header":  # a heading group of the article itself stays
-        node = inside
-        while node:
-            if node.tag in ("article", "main", "section"):
-                break
-            node = node.parent
-        if not node:
-            return True
-    if attrs and tag not in ("html", "body", "article", "main", "p", "h1"):
+    if tag == "header" and not _in_article(inside):  # a heading group of the article itself stays
+        return True
+    if attrs and tag not in ("html", "body", "h1"):
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
             if name == "role" and value.strip() in ROLES:
                 return True
-            if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())):
-                return True
+            if name in ("class", "id"):
+                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
+                found = words & (NOT_ARTICLE if tag in ("article", "main") else MARKS)
+                if found and not (found == {"header"} and _in_article(inside)):
+                    return True
     return False
 
 
