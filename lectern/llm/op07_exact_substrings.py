@@ -197,8 +197,9 @@ def _by_row(t: pa.Table) -> pa.Table:
 
 
 _BY_ROW = "row long, numbers binary, states binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long, carry {}"
 _OPEN = RESULT + ", text binary, sure binary, open binary"
+_NAMES = [x.split()[0] for x in _OPEN.split(", ")]
 
 
 def _cut(data: bytes, at: np.ndarray, length: int, keep: bool) -> tuple:
@@ -212,9 +213,9 @@ def _cut(data: bytes, at: np.ndarray, length: int, keep: bool) -> tuple:
     return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore").encode() if keep else None
 
 
-def _results(ids: pa.Array, rows: list[tuple], row: pa.Array) -> list[pa.Array]:
+def _results(ids: pa.Array, rows: list[tuple], row: pa.Array, carry: pa.Array) -> list[pa.Array]:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return [ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary()), row]
+    return [ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary()), row, carry]
 
 
 def _windows(ranges: bytes) -> np.ndarray:
@@ -264,8 +265,7 @@ def _resolve(length: int, keep: bool):
                     rows.append(_cut(data, _windows(known), length, keep))
                     more.append((None, None, None))
             extra = [pa.array(c, pa.binary()) for c in zip(*more, strict=True)] if n else [pa.array([], pa.binary())] * 3
-            names = [x.split()[0] for x in _OPEN.split(", ")]
-            yield pa.RecordBatch.from_arrays([*_results(b.column(0), rows, b.column(1)), *extra], names=names)
+            yield pa.RecordBatch.from_arrays([*_results(b.column(0), rows, b.column(1), b.column(5)), *extra], names=_NAMES)
 
     return run
 
@@ -305,36 +305,38 @@ def _finish(length: int, keep: bool):
             for text, sure, rims, numbers in zip(*(b.column(i) for i in range(2, 6)), strict=True):
                 at = np.concatenate([_windows(sure.as_py()), _windows(rims.as_py())[np.frombuffer(numbers.as_py() or b"", np.int32)]])
                 rows.append(_cut(text.as_py(), at, length, keep))
-            yield pa.RecordBatch.from_arrays(_results(b.column(0), rows, b.column(1)), names=[x.split()[0] for x in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays(_results(b.column(0), rows, b.column(1), b.column(6)), names=_NAMES[:8])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True, carry: F.Column | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the kept bytes), row (a key of doc_id
-    and text) and, on demand, kept: the kept bytes without parts of a character that a cut went through."""
+    and text), carry (a column that goes along) and, on demand, kept: the kept bytes without parts of a character that
+    a cut went through."""
     parts = buckets(docs.sparkSession, 8)
-    # rows that agree in id and text are told apart by a count, as each is a place of its own
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    carry = F.lit(None).cast("int") if carry is None else carry
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carry.alias("carry")).withColumn("row", F.xxhash64("doc_id", "text"))
+    kind = base.schema["carry"].dataType.simpleString()
     dealt = base.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(K.tidy(_deal_anchors(parts, length)), PACKED)
     states = dealt.groupBy("part").applyInArrow(K.tidy(_judge_anchors(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW)
-    texts = base.join(states, "row", "left").select("doc_id", "row", "text", "numbers", "states")
-    settled = written(texts.mapInArrow(K.tidy(_resolve(length, keep)), _OPEN), "matches")
+    texts = base.join(states, "row", "left").select("doc_id", "row", "text", "numbers", "states", "carry")
+    settled = written(texts.mapInArrow(K.tidy(_resolve(length, keep)), _OPEN.format(kind)), "matches")
     rims = settled.where("text is not null")
     told = rims.select("row", "text", "open").mapInArrow(K.tidy(_deal_windows(parts, length)), PACKED)
     told = told.groupBy("part").applyInArrow(K.tidy(_judge_windows(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW).select("row", "numbers")
-    cut = rims.join(told, "row", "left").select("doc_id", "row", "text", "sure", "open", "numbers").mapInArrow(K.tidy(_finish(length, keep)), RESULT)
-    return cut.unionByName(settled.where("text is null").select(*[x.split()[0] for x in RESULT.split(", ")]))
+    cut = rims.join(told, "row", "left").select("doc_id", "row", "text", "sure", "open", "numbers", "carry").mapInArrow(K.tidy(_finish(length, keep)), RESULT.format(kind))
+    return cut.unionByName(settled.where("text is null").select(*_NAMES[:8]))
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the remaining text; bytes of a character that a cut went through go too. An n_chars column follows the text."""
-    made = remove_repeats(docs, length).where("n_removed > 0").select("row", F.col("kept").alias("kept")).dropDuplicates(["row"])
-    row = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
-    out = row.join(made.withColumnRenamed("row", "_row"), "_row", "left").withColumn("text", text).drop("_row", "kept")
+    """docs with the remaining text; bytes of a character that a cut went through go too. A null text stays null; an n_chars column follows the text."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    made = remove_repeats(docs, length, carry=F.struct(F.col("text").isNull().alias("none"), *others))
+    text = F.when(~F.col("carry.none"), F.col("kept").cast("string"))
+    out = made.select(*[text.alias("text") if c == "text" else F.col(f"carry.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op7_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "row")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "row", "carry")
