@@ -64,11 +64,17 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = buf[off[lo] : off[hi]]
             text, number, ids, s, soff, loff, keep = _paragraphs(b, off[lo : hi + 1] - off[lo])
             sig = np.zeros((len(keep), BANDS), np.uint64)
+            distinct = np.zeros(len(keep), np.int64)
             if len(keep):
                 # the kept lines' shingles alone, so that reduceat sees no empty stretch
                 n = soff[keep + 1] - soff[keep]
                 begin = np.cumsum(n) - n
                 own = s[np.repeat(soff[keep] - begin, n) + np.arange(n.sum())]
+                # sizes are compared as sets, like the sets themselves: a repeated shingle counts once
+                of = np.repeat(np.arange(len(keep)), n)
+                order = np.lexsort((own, of))
+                new = np.concatenate(([True], (own[order][1:] != own[order][:-1]) | (of[1:] != of[:-1])))
+                distinct = np.bincount(of[new], minlength=len(keep))
                 for band in range(BANDS):
                     for r in range(ROWS):
                         low = np.minimum.reduceat(own * _FACTORS[band * ROWS + r], begin)
@@ -81,7 +87,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate((row[which], row[lo:hi]))),
                 pa.array(np.concatenate((number[keep], np.full(m, -1))).astype(np.int32)),
                 pa.array([*ids[keep].view(np.int64).tolist(), *[None] * m], pa.int64()),
-                pa.array(np.concatenate(((soff[keep + 1] - soff[keep]), np.zeros(m))).astype(np.int32)),
+                pa.array(np.concatenate((distinct, np.zeros(m))).astype(np.int32)),
                 pa.array(np.concatenate(((loff[keep + 1] - loff[keep]), np.zeros(m))).astype(np.int32)),
                 pa.array([*(x.tobytes() for x in sig), *[None] * m], pa.binary()),
             ]

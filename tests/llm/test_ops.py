@@ -187,6 +187,13 @@ def test_op4(docs, empty):
     assert op4.decisions(empty).count() == 0
 
 
+def test_op4_counts_repeated_shingles_once(spark):
+    phrase = "one two three four five six seven"
+    rows = [(1, " ".join([phrase] * 10)), (2, " ".join([phrase] * 20))]
+    got = {r["doc_id"]: r["removed"] for r in op4.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0]}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><p>no";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/x">X</a></li></ul></nav><div class="cookie-banner">We use cookies, a long notice about cookies.</div>
 <!-- ad --><div class="ad">Buy &lt;this&gt; thing now, it is very good and cheap.</div><aside>Also read that</aside>
