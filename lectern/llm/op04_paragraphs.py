@@ -2,10 +2,11 @@
 
 Paragraphs are lines of at least `least` words; equal word sequences are one class. Each class has
 BANDS band keys of ROWS minima over its 5-word shingles; two classes of Jaccard similarity s
-collide in some band with probability 1 - (1 - s^ROWS)^BANDS, 0.9986 at s = 0.75. Colliding classes
-are paired in a number linear in a band's size (all pairs in small ones; in others each with the
-first and with its next by size and hash), their shingles compared exactly, and links joined to
-components. Of each component the first place, by doc_id, text hash and line, stays; all others go.
+collide in some band with probability 1 - (1 - s^ROWS)^BANDS, 0.9986 at s = 0.75. Every two classes
+that collide are compared exactly: those of a small band in pairs; those of larger bands, where pairs
+would grow with the square of the band, meet in the exact join of op1 (cells of their rarest shingles,
+pivots inside), which finds all links among them, in one band or not. Links are joined to components.
+Of each component the first place, by doc_id, text hash and line, stays; all others go.
 
 Null and empty texts have no paragraphs; shorter lines stay and are not counted. Rows that agree
 in doc_id and text are one place, given back as often as they came. Rows without doc_id are left
@@ -14,7 +15,7 @@ out; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import buckets, components, release, table, written
-from .shingle_index import pack, unpack
+from .op01_jaccard_join import links
+from .shingle_index import index, pack, unpack
 
 BANDS, ROWS, SHINGLE, LEAST_WORDS = 12, 3, 5, 5
 SMALL = 8
@@ -111,26 +113,28 @@ def _deal(parts: int):
     return run
 
 
-def _pair(t: pa.Table) -> pa.Table:
-    key, h, n = (np.concatenate(c) for c in zip(*(unpack(x.as_py(), np.uint64, np.int64, np.int32) for x in t["payload"]), strict=True))
-    order = np.lexsort((h, n, key))
-    key, h, n = key[order], h[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((at, [len(key)])))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    place = np.arange(len(key)) - np.repeat(at, size)
-    group = np.repeat(size, size)
-    for step in range(1, SMALL):  # all pairs of small bands, the next ones of others
-        i = np.flatnonzero((place + step < group) & ((group <= SMALL) | (step == 1)))
-        a.append(i)
-        b.append(i + step)
-    i = np.flatnonzero((group > SMALL) & (place > 1))
-    a.append(i - place[i])
-    b.append(i)
-    a, b = np.concatenate(a), np.concatenate(b)
-    ok = (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]) - 99) & (h[a] != h[b])
-    pairs = np.unique(np.stack([np.minimum(h[a], h[b])[ok], np.maximum(h[a], h[b])[ok]], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def _pair(num: int):
+    def run(t: pa.Table) -> pa.Table:
+        """All pairs (a, b) of small bands; a row (a, null) for each member of the others."""
+        key, h, n = (np.concatenate(c) for c in zip(*(unpack(x.as_py(), np.uint64, np.int64, np.int32) for x in t["payload"]), strict=True))
+        order = np.lexsort((h, n, key))
+        key, h, n = key[order], h[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((at, [len(key)])))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        place = np.arange(len(key)) - np.repeat(at, size)
+        group = np.repeat(size, size)
+        for step in range(1, SMALL):
+            i = np.flatnonzero((place + step < group) & (group <= SMALL))
+            a.append(i)
+            b.append(i + step)
+        a, b = np.concatenate(a), np.concatenate(b)
+        ok = (100 * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (h[a] != h[b])
+        pairs = np.unique(np.stack([np.minimum(h[a], h[b])[ok], np.maximum(h[a], h[b])[ok]], 1), axis=0)
+        hot = np.unique(h[group > SMALL])
+        return pa.table({"a": pa.array(np.concatenate((pairs[:, 0], hot)), pa.int64()), "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(hot)], pa.int64())})
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,23 +153,61 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "tokens"])
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, lines wanted) -> (h, the line)."""
+    for batch in batches:
+        buf, off = K.raw(batch.column(0))
+        for lo, hi in K.chunks(off):
+            b = buf[off[lo] : off[hi]]
+            text, number, ids, _, _, loff, _ = _paragraphs(b, off[lo : hi + 1] - off[lo])
+            hs, own = [], []
+            for i in range(hi - lo):
+                first = np.searchsorted(text, i)
+                for line in batch.column(1)[lo + i].as_py():
+                    j = first + line
+                    hs.append(int(ids[j].view(np.int64)))
+                    own.append(b[loff[j] : loff[j + 1]].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(own, pa.string())], names=["h", "text"])
+
+
+def _hot_links(lines: DataFrame, num: int) -> DataFrame:
+    """All links (a, b) among classes of large bands, exactly: lines(h, text), one of each class."""
+    made = written(index(lines.select(F.col("h").alias("doc_id"), "text"), SHINGLE, num), "hot-sets")
+    # classes of the same set are one member there; the least stands for it
+    of = made.where("kind = 0").select(F.col("doc_id").alias("h"), "cid")
+    least = of.groupBy("cid").agg(F.min("h").alias("least"))
+    same = of.join(least, "cid").where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    found = links(made.where("kind = 1").select("cid", "n", "lone", "prefix", "tokens"), num)
+    named = lambda c: least.select(F.col("cid").alias(c), F.col("least").alias("h" + c))
+    return found.join(named("a"), "a").join(named("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(same)
+
+
 def paragraph_links(docs: DataFrame, places: DataFrame, num: int = 75) -> DataFrame:
     """Links (a, b) between classes of equal paragraphs."""
     parts = buckets(docs.sparkSession, 8)
     classes = places.where("h is not null").groupBy("h").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    pairs = classes.select("h", "n", "sig").mapInArrow(K.tidy(_deal(parts)), "part int, payload binary").groupBy("part").applyInArrow(K.tidy(_pair), "a long, b long").distinct()
+    pairs = classes.select("h", "n", "sig").mapInArrow(K.tidy(_deal(parts)), "part int, payload binary").groupBy("part").applyInArrow(K.tidy(_pair(num)), "a long, b long").distinct()
     pairs = written(pairs, "pairs")
+    hot = pairs.where("b is null").select(F.col("a").alias("h"))
+    pairs = pairs.where("b is not null")
     release(docs.sparkSession)  # what the bands were shuffled through isn't needed any more
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     first = places.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"))
-    lines = first.join(wanted, "h", "left_semi").groupBy("at.doc_id", "at.row").agg(F.collect_list("at.line").alias("lines"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    sets = text.join(lines, ["doc_id", "row"]).select("text", "lines").mapInArrow(K.tidy(_sets), "h long, tokens array<long>")
-    sets = written(sets, "sets").dropDuplicates(["h"])
+
+    def read(which: DataFrame, run: Callable, schema: str, name: str) -> DataFrame:
+        """What `run` makes of the first line of each class in which(h), a row for each class."""
+        lines = first.join(which, "h", "left_semi").groupBy("at.doc_id", "at.row").agg(F.collect_list("at.line").alias("lines"))
+        return written(text.join(lines, ["doc_id", "row"]).select("text", "lines").mapInArrow(K.tidy(run), schema), name).dropDuplicates(["h"])
+
+    sets = read(wanted, _sets, "h long, tokens array<long>", "sets")
     release(docs.sparkSession)
     x, y = sets.select(F.col("h").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("h").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(x, "a").join(y, "b").where(100 * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    found = pairs.join(x, "a").join(y, "b").where(100 * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    if hot.isEmpty():
+        return found
+    return found.unionByName(_hot_links(read(hot, _texts, "h long, text string", "hot-lines"), num))
 
 
 def decisions(docs: DataFrame, num: int = 75) -> DataFrame:

@@ -194,6 +194,28 @@ def test_op4_counts_repeated_shingles_once(spark):
     assert got == {1: [], 2: [0]}
 
 
+def test_op4_links_all_pairs_of_large_bands(spark):
+    """Variants that are linked only through their template, more than a small band holds."""
+    rng = random.Random(5)
+    lines = []
+    for c in range(4):
+        hub = [f"w{c}x{i}" for i in range(150)]
+        for v in range(30):
+            w = list(hub)
+            for p in rng.sample(range(5, 145, 5), 3):
+                w[p] = f"v{c}x{v}x{p}"
+            lines.append(" ".join(w))
+        lines.append(" ".join(hub))
+    sets = [shingle_set(x) for x in lines]
+    same = classes(range(len(lines)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    assert len(set(same.values())) == 4
+    got = {r["doc_id"]: r["n_removed"] for r in op4.decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    least = {}
+    for i, c in sorted(same.items()):
+        least.setdefault(c, i)
+    assert got == {i: int(least[c] != i) for i, c in same.items()}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><p>no";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/x">X</a></li></ul></nav><div class="cookie-banner">We use cookies, a long notice about cookies.</div>
 <!-- ad --><div class="ad">Buy &lt;this&gt; thing now, it is very good and cheap.</div><aside>Also read that</aside>
