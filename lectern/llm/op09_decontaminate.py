@@ -12,8 +12,10 @@ set of the passage's words. The threshold is a share of the score an item gets f
 No candidate is cut off. A retrieved item leaks when enough of its question and of its answer
 stands in the passage: words covered by 3-word runs that both share.
 
-Items come to the driver in blocks of at most `block` items, each sent to all executors with a scan
-of its own; so what is broadcast has a bound, however many items there are. Null or empty texts
+Items come to the driver in blocks of about `block` items, each sent to all executors with a scan
+of its own; so what is broadcast has a bound, however many items there are. Where there are several
+blocks, what is taken over all items (their number, mean and greatest length, document frequencies)
+is counted by Spark and given to each block, so scores and passages don't depend on the blocks. Null or empty texts
 and items leak nothing; rows without an id are left out; repeated items give a row each, repeated
 rows of a document one. Further columns are not read.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import table
+from .common import table, written
 
 K1, B = 1.2, 0.75
 SHARE = 0.6
 COVER = 0.5
 RUN = 3
+WORDS = "part int, n long, terms array<long>"
 LEAKS = "doc_id long, item_id long, score double, question_cover double, answer_cover double, first_word long"
 _SENTENCE = re.compile(r"[.?!:;]\s+(?=\S)")
 
@@ -49,8 +53,20 @@ def _split(text: str) -> int:
     return len(text[: w[max(0, len(w) * 3 // 4 - 1)]].encode()) if w else 0
 
 
+class Overall(NamedTuple):
+    """Of all items that have words: their number, words in all and in the longest; terms (ascending) with document frequencies, those of a block at least."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    def __init__(self, ids: list[int], texts: list[str], share: float = SHARE, size: int = 32):
+    """The index of a block of items; without `overall` the block is all there is."""
+
+    def __init__(self, ids: list[int], texts: list[str], share: float = SHARE, size: int = 32, overall: Overall | None = None):
         col = pa.array(texts, pa.string())
         buf, off = K.raw(col)
         h, woff, _, ends = K.words(buf, off, K.ALNUM)
@@ -59,7 +75,7 @@ class Index:
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.items = [h[woff[i] : woff[i + 1]] for i in order]
         self.question = np.array([np.searchsorted(ends[woff[i] : woff[i + 1]], off[i] + _split(texts[i]), "right") for i in order], np.int64)
-        self.longest = int(n.max()) if len(order) else 0
+        self.longest = overall.longest if overall else int(n.max()) if len(order) else 0
         if not order:
             return
         length = n[order].astype(float)
@@ -67,8 +83,11 @@ class Index:
         pair, tf = np.unique(np.stack([np.concatenate(self.items), item.astype(np.uint64)], 1), axis=0, return_counts=True)
         self.terms, term, df = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
         of = pair[:, 1].astype(np.int64)
-        idf = np.log(1 + (len(order) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of] / length.mean()))
+        count, mean = len(order), int(n.sum()) / len(order)
+        if overall:
+            count, mean, df = overall.items, overall.words / overall.items, overall.df[np.searchsorted(overall.terms, self.terms)]
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of] / mean))
         self.self_score = np.bincount(of, impact, len(order))
         self.threshold = share * self.self_score
         # postings by term
@@ -206,16 +225,35 @@ def _run(index: Index):
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) of items -> part, number of words, distinct words."""
+    for batch in batches:
+        buf, off = K.raw(batch.column(1))
+        h, woff, _, _ = K.words(buf, off, K.ALNUM)
+        terms = [np.unique(h[woff[i] : woff[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(woff), pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["part", "n", "terms"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, block: int = 4_000) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> a row for each item that leaks into a document."""
     items = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     parts = -(-items.count() // block)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    out = None
+    out = overall = None
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")
+    if parts > 1:
+        counted = written(items.select(part.alias("part"), "text").mapInArrow(K.tidy(_words), WORDS).where("n > 0"), "item-words")
+        total = counted.agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+        terms = counted.select("part", F.explode("terms").alias("term"))
+        df = written(terms.groupBy("term").agg(F.count("*").alias("df")), "item-terms")
     for p in range(parts):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
-        index = Index(got["item_id"].to_pylist(), got["text"].to_pylist())
-        if index.longest:
+        got = items.where(part == p).orderBy("item_id", "text").toArrow()
+        if parts > 1:
+            own = df.join(terms.where(F.col("part") == p).select("term").distinct(), "term").toArrow()
+            of, at = own["term"].to_numpy().view(np.uint64), own["df"].to_numpy()
+            overall = Overall(total["items"], total["words"] or 0, total["longest"] or 0, np.sort(of), at[np.argsort(of)])
+        index = Index(got["item_id"].to_pylist(), got["text"].to_pylist(), overall=overall)
+        if len(index.ids):
             found = texts.mapInArrow(K.tidy(_run(index)), LEAKS)
             out = found if out is None else out.unionByName(found)
     if out is None:

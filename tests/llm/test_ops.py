@@ -362,6 +362,24 @@ def test_op9_finds_what_brute_force_finds():
                     assert (at, int(i)) in found
 
 
+def test_op9_blocks_do_not_change_results(spark):
+    rng = random.Random(11)
+    vocab = [f"w{int(rng.paretovariate(0.4)) % 300}" for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 60)))) for i in range(60)] + [(60, ""), (61, None), (3, "w1 w2 w3 w4 w5 w6 w7 w8")]
+    docs = []
+    for d in range(120):
+        w = rng.choice(items)[1] or ""
+        w = w.split()
+        for _ in range(rng.randint(0, len(w) // 4)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)  # some of them near the threshold
+        docs.append((d, " ".join([rng.choice(vocab) for _ in range(40)] + w + [rng.choice(vocab) for _ in range(40)])))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = ({tuple(r) for r in op9.leaks(docs, items, b).collect()} for b in (4_000, 9))
+    assert len(whole) > 50 and whole == parts
+    none = spark.createDataFrame([(1, ""), (2, None)], "item_id long, text string")
+    assert op9.leaks(docs, none, 1).count() == 0
+
+
 def test_op10(spark):
     rng = random.Random(9)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(500)]
