@@ -4,9 +4,11 @@ A page is parsed into a tree (implied ends of p, li and the like; raw text of sc
 skipped). Elements that are never part of an article go first: by tag (nav, aside, form, ...), by
 role, and by the words of class and id (ad, cookie, comments, sidebar, ...). On what is left each
 node gets a density, its characters per tag, adjusted by how much of it is link text; the sum of
-its children's densities says how much content it gathers. Among nodes at least as dense as the
-sparsest one on the path from the greatest sum to the body, the one with the greatest sum is the
-article; its text is taken whole.
+its children's densities says how much content it gathers. Where the greatest sum stands in an
+article or main element, that element is taken whole. Elsewhere an article may be split over
+several containers: of every block below the body that is at least as dense as the sparsest node on
+the path from the greatest sum to the body, the block with the greatest sum in it and its own text
+are taken, in page order, and the headings right before one, and the title, with it.
 
 A null or empty page, and one without text, gives an empty text. Rows keep their number; further
 columns of the input are not read. A page is worked on alone, in linear time, without recursion.
@@ -33,6 +35,7 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 CELL = set("br td th".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "option", "legend"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
@@ -50,12 +53,13 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 
 
 class Node:
-    __slots__ = ("density", "items", "links", "link_chars", "parent", "tag", "tags", "chars", "total", "out")
+    __slots__ = ("density", "items", "kept", "links", "link_chars", "parent", "tag", "tags", "chars", "top", "total", "out")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False):
         self.tag, self.parent, self.items, self.out = tag, parent, [], out
         self.chars = self.tags = self.links = self.link_chars = 0
         self.density = self.total = 0.0
+        self.top, self.kept = self, False
 
 
 def _in_article(node: Node | None) -> bool:
@@ -141,7 +145,8 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node) -> Node:
+def main_nodes(root: Node) -> list[Node]:
+    """The nodes whose texts are the article, in page order."""
     nodes = _ordered(root)
     for n in reversed(nodes):
         n.chars += sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
@@ -161,23 +166,57 @@ def main_node(root: Node) -> Node:
             if n.parent:
                 n.parent.total += n.density
     best = max(nodes, key=lambda n: n.total)
+    up = best
+    while up.parent and up.tag not in ("article", "main", "body"):
+        up = up.parent
+    if up.tag in ("article", "main"):
+        return [up]
+    if best is up:  # the body itself
+        return [best]
     threshold, n = best.density, best
-    while n.parent:
+    while n is not up:
         n = n.parent
         threshold = min(threshold, n.density)
-    # a node that is no denser than the thinnest of that path is no candidate; the widest of equals wins
-    best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.total)
-    while best.parent and best.tag not in ("article", "main", "body", "html") and not _alone(best):
-        best = best.parent
-    return best
+    for n in reversed(nodes):  # the block of greatest sum in each subtree; of equals the widest
+        if n.parent and n.top.tag in BLOCK and n.top.total > n.parent.top.total:
+            n.parent.top = n.top
+    return _kept(up, threshold)
 
 
-def _alone(node: Node) -> bool:
-    """Whether the node holds nearly all text of its nearest article, main or body."""
-    up = node
-    while up.parent and up.tag not in ("article", "main", "body"):
-        up = up.parent
-    return up.tag not in ("article", "main")
+def _kept(body: Node, threshold: float) -> list[Node]:
+    out, heads, title, stack = [], [], None, list(reversed(_parts(body)))
+    while stack:
+        n = stack.pop()
+        if not n.kept and n.chars and n.tag in BLOCK and n.density >= threshold:
+            n.top.kept = True
+        if n.kept:
+            out += ([title] if title and not out and title not in heads else []) + heads + [n]
+            heads = []
+        elif n.tag in HEADINGS:
+            heads.append(n)
+            title = n if n.tag == "h1" else title
+        else:
+            heads = heads if all(x.tag in BLOCK for x in _parts(n)) and not any(isinstance(x, str) and x.strip() for x in n.items) else []
+            stack.extend(reversed(_pieces(n) if n.tag in BLOCK and n.chars and n.density >= threshold else _parts(n)))
+    return out
+
+
+def _pieces(node: Node) -> list[Node]:
+    """The blocks in a dense one, and what text of its own stands between them, as blocks that are kept."""
+    out: list[Node] = []
+    for x in node.items:
+        if isinstance(x, Node) and (x.out or x.tag in BLOCK):
+            out += [] if x.out else [x]
+            continue
+        if not out or out[-1].parent:
+            out.append(Node("div", None))
+        out[-1].items.append(x)
+        out[-1].kept |= bool(x.strip() if isinstance(x, str) else x.chars)
+    return out
+
+
+def _parts(node: Node) -> list[Node]:
+    return [x for x in node.items if isinstance(x, Node) and not x.out]
 
 
 def text_of(node: Node) -> str:
@@ -210,7 +249,7 @@ def text_of(node: Node) -> str:
 def extract(html: str | None) -> str:
     if not html:
         return ""
-    return text_of(main_node(parse(html)))
+    return "\n".join(filter(None, map(text_of, main_nodes(parse(html)))))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,6 +237,21 @@ def test_op5(spark):
     assert op5.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op5_split_article():
+    say = "This is a sentence of the article with quite a few words in it, so that it is dense text. "
+    p = lambda a, b: "".join(f"<p>{i} {say * 3}</p>" for i in range(a, b))
+    links = '<div><a href="/">Home</a> <a href="/a">All of it</a> <a href="/b">More</a></div>'
+    text = lambda a, b: [f"{i} {say * 3}".strip() for i in range(a, b)]
+    sections = f"<div>{p(0, 5)}</div><div>{p(5, 8)}</div><div>{p(8, 10)}</div>"
+    for page in (sections, f"<div>{sections}</div>", f"<div><div>{p(0, 5)}</div><div>{p(5, 10)}</div></div>"):
+        assert op5.extract(f"<body>{links}{page}{links}</body>").split("\n") == text(0, 10)
+    assert op5.extract(f"<body>{links}<div><h1>A title</h1></div><div>{p(0, 5)}</div>{links}").split("\n") == ["A title", *text(0, 5)]
+    own = f"<div><div>{p(0, 5)}</div>own {say * 3}<b>and</b> bold<div>{p(5, 8)}</div></div>"
+    assert op5.extract(f"<body>{links}{own}{links}").split("\n") == [*text(0, 5), f"own {say * 3}and bold", *text(5, 8)]
+    inline = f"<div><p>Some text <span>in <b>bold {say}</b></span> and on.</p>{p(0, 5)}</div><div>{p(5, 7)}</div>"
+    assert op5.extract(f"<body>{links}{inline}{links}").split("\n")[0] == f"Some text in bold {say}and on."
+
+
 def test_op6(spark):
     rows = [
         (0, 0, "user", "q", 1), (0, 1, "assistant", "yes", 1), (0, 2, "user", "more", 1), (0, 3, "assistant", "good", 1), (0, 3, "assistant", "good", 1),
