@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors as V
+
 MIXED = 25
 LEAST_CHARS, LEAST_SHARE = 40, 0.30
 
@@ -75,6 +77,24 @@ def golden_set(leaves: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFra
     return cases, hit
 
 
+def holding(units: DataFrame, queries: DataFrame, post: DataFrame) -> DataFrame:
+    """query_id, unit: every unit whose text contains the query's, out of all; units, queries and their postings as for BM25.
+
+    What stands between a query's first and last white space has the same terms in any text that
+    contains it, so only units with the rarest of them are read; a query without such terms reads all.
+    An empty query is held by none.
+    """
+    q = queries.where("text <> ''").select("scope", "query_id", "text")
+    inner = V.terms(q.withColumn("text", F.regexp_extract("text", r"(?s)\s(.*)\s", 1)), "scope", "query_id").select("scope", "query_id", "term").distinct()
+    df = post.join(inner.select("scope", "term").distinct(), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count("*").alias("df"))
+    rare = inner.join(df, ["scope", "term"], "left").groupBy("scope", "query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
+    text = units.select("scope", "unit", F.col("text").alias("_t"))
+    some = rare.join(post, ["scope", "term"]).select("scope", "query_id", "unit").join(q, ["scope", "query_id"]).join(text, ["scope", "unit"])
+    every = q.join(rare, ["scope", "query_id"], "left_anti").join(text, "scope")
+    cols = ["query_id", "unit", "text", "_t"]
+    return some.select(*cols).unionByName(every.select(*cols)).where(F.contains("_t", "text")).select("query_id", "unit").distinct()
+
+
 def per_case(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """ranking(query_id, unit, rank), relevant(query_id, unit) -> n_relevant, hits, returned, first_rank and the metrics of each case with relevant units."""
     n = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))

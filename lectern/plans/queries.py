@@ -552,11 +552,9 @@ _REL = f"{S.CORPUS}, rk as (select query_id, unit, rank from bmrank where rank <
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(the first twenty by BM25, those of them that hold the item's text)."""
+    """(the full ranking by BM25, all documents that hold the item's text)."""
     units, queries, post, stats = _bm25(spark, d)
-    r = R.ranked(R.bm25_scores(queries, post, stats), 20)
-    rel = r.join(units.select("unit", F.col("text").alias("t")), "unit").join(queries.select("query_id", "text"), "query_id").where(F.contains("t", "text"))
-    return r, rel.select("query_id", "unit")
+    return R.ranked(R.bm25_scores(queries, post, stats)), E.holding(units, queries, post)
 
 
 _CASES = f"""{_REL},

@@ -261,3 +261,23 @@ def test_angle_and_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     r = df.select(V.angle(V.cosine(F.col("a"), F.col("b"))).alias("x"), V.cosine(F.col("a"), F.col("z")).alias("y"), V.euclidean(F.col("a"), F.col("b")).alias("e")).first()
     assert abs(r["x"] - 45) < 1e-9 and r["y"] == 0.0 and r["e"] == 1.0 and math.isfinite(r["x"])
+
+
+def test_relevance_and_rank_over_all_documents(spark, tmp_path):
+    from lectern.plans import queries as Q
+
+    item = "alpha beta gamma delta"
+    short = [f"{item} {item} alpha gamma n{i}" for i in range(25)]  # all hold the item
+    late = [f"x{item}x " + " ".join(f"pad{i}w{j}" for j in range(200)) for i in range(3)]  # hold it far down
+    other = ["beta gamma beta gamma alpha", "gamma delta", "nothing of it"]
+    only = ["rho sigma tau " * 3 + str(i) for i in range(22)] + ["upsilon rho sigma tau phi " + "pad " * 300]
+    docs = list(enumerate([*short, *late, *other, *only]))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "upsilon rho sigma tau phi pad"), (3, "sigma rho tau"), (4, ""), (5, "tau pad")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries = dict(spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect())
+    want = {q: sum(t in x for _, x in docs) for q, t in queries.items() if t and any(t in x for _, x in docs)}
+    ranking, rel = Q._judged(spark, str(tmp_path))
+    assert ranking.where("query_id = 1").count() > 20
+    got = {r["query_id"]: r for r in Q.retrieval_cases(spark, str(tmp_path)).collect()}
+    assert {q: r["n_relevant"] for q, r in got.items()} == want and want[1] == 28
+    assert rel.where("query_id = 5").count() == want.get(5, 0)
