@@ -40,7 +40,7 @@ def assign_spans(headings: DataFrame, max_level: int = 12) -> DataFrame:
 def build_tree(headings: DataFrame, docs: DataFrame) -> DataFrame:
     """Nodes (doc_id, node_id, parent_id, title, number, level, is_leaf, char_start, char_end); a root for each of docs(doc_id, source, text)."""
     spans = assign_spans(headings)
-    name = lambda c: F.lpad((c + 1).cast("string"), 4, "0")
+    name = lambda c: F.when(c.isNotNull(), F.format_string("%04d", (c + 1).cast("long")))
     inner = spans.select(
         "doc_id", name(F.col("heading_idx")).alias("node_id"), F.coalesce(name(F.col("parent_idx")), F.lit("0000")).alias("parent_id"),
         F.concat_ws(" ", "number", "title").alias("title"), "number", "level", "char_start", "char_end",
@@ -48,7 +48,7 @@ def build_tree(headings: DataFrame, docs: DataFrame) -> DataFrame:
     root = docs.select("doc_id", F.lit("0000").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("source").alias("title"), F.lit(None).cast("string").alias("number"), F.lit(0).alias("level"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"))
     nodes = root.unionByName(inner)
     # ids are in document order, so a node has children if and only if the next one lies below it
-    nxt = F.lead("level").over(Window.partitionBy("doc_id").orderBy("node_id"))
+    nxt = F.lead("level").over(Window.partitionBy("doc_id").orderBy(F.col("node_id").cast("long")))
     return nodes.withColumn("is_leaf", F.coalesce(nxt <= F.col("level"), F.lit(True)))
 
 

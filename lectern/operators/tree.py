@@ -42,7 +42,7 @@ def summarise_tree(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     for level in levels:
         here = inner.where(F.col("level") == level)
         child = done if parents is None else done.unionByName(parents)
-        parts = F.array_sort(F.collect_list(F.struct(F.col("node_id"), F.concat(F.col("title"), F.lit(": "), F.col("summary")).alias("x"))))
+        parts = F.array_sort(F.collect_list(F.struct(F.length("node_id").alias("digits"), F.col("node_id"), F.concat(F.col("title"), F.lit(": "), F.col("summary")).alias("x"))))
         body = child.groupBy("doc_id", F.col("parent_id").alias("up")).agg(F.array_join(F.transform(parts, lambda x: x["x"]), " ").alias("_b"))
         body = body.withColumnRenamed("up", "node_id")
         new = here.join(body, ["doc_id", "node_id"]).withColumn("summary", T.summarise("_b", "title")).select("doc_id", "node_id", "parent_id", "level", "title", "summary")
@@ -86,7 +86,7 @@ def beam_search(nodes: DataFrame, queries: DataFrame, beam: int = 2, max_depth:
             tree.select("doc_id", F.col("parent_id").alias("at_id"), "node_id", F.col("is_leaf"), "title", "summary"), ["doc_id", "at_id"]
         )
         kids = kids.withColumn("score", F.round(T.overlap_score("question", F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))), 9))
-        node = Window.partitionBy("query_id", "doc_id", "at_id").orderBy(F.desc("score"), "node_id")
+        node = Window.partitionBy("query_id", "doc_id", "at_id").orderBy(F.desc("score"), F.length("node_id"), "node_id")
         kids = kids.withColumn("pick", F.row_number().over(node))
         best = F.max("score").over(Window.partitionBy("query_id", "doc_id", "at_id"))
         kids = kids.withColumn("picked", ((F.col("score") > 0) & (F.col("pick") <= beam)) | ((best <= 0) & (F.col("pick") == 1)))
@@ -104,7 +104,7 @@ def beam_search(nodes: DataFrame, queries: DataFrame, beam: int = 2, max_depth:
         leaves = leaves.unionByName(f)
     for t in trace[1:]:
         hops = hops.unionByName(t)
-    seq = F.row_number().over(by_query.orderBy("depth", "place", "node_id")) - 1
+    seq = F.row_number().over(by_query.orderBy("depth", "place", F.length("node_id"), "node_id")) - 1
     hop = F.dense_rank().over(by_query.orderBy("depth", "place")) - 1
     once = leaves.groupBy("query_id", "doc_id", "node_id").agg(F.min(F.struct("depth", "place")).alias("m")).select("query_id", "doc_id", "node_id", "m.*")
     return once.withColumn("seq", seq).drop("depth", "place"), hops.withColumn("hop", hop).drop("depth", "place")

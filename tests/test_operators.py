@@ -263,6 +263,15 @@ def test_angle_and_cosine(spark):
     assert abs(r["x"] - 45) < 1e-9 and r["y"] == 0.0 and r["e"] == 1.0 and math.isfinite(r["x"])
 
 
+def test_outline_of_more_than_9999_headings(spark):
+    lines = [f"# t{i}" for i in range(9_998)] + ["# up", "## low one", "## low two", "# last"]
+    docs = spark.createDataFrame([(1, "s", "\n".join(lines))], "doc_id long, source string, text string")
+    nodes = {r["node_id"]: r for r in O.build_tree(O.find_headings(docs), docs).collect()}
+    assert len(nodes) == 10_003 and {f"{i:04d}" for i in range(10_003)} == set(nodes)
+    assert [(nodes[x]["title"], nodes[x]["parent_id"]) for x in ("9999", "10000", "10001", "10002")] == [("up", "0000"), ("low one", "9999"), ("low two", "9999"), ("last", "0000")]
+    assert {k for k, r in nodes.items() if not r["is_leaf"]} == {"0000", "9999"}
+
+
 def test_relevance_and_rank_over_all_documents(spark, tmp_path):
     from lectern.plans import queries as Q
 
