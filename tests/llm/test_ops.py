@@ -476,3 +476,21 @@ def test_pipeline(spark, sf):
         assert 0 < n <= before
         before = n
     assert [n for n, _ in C.STAGES] == ["toxicity", "near_copies", "substrings", "decontamination", "packing"]
+
+
+def test_pipeline_decides_by_row(spark, sf):
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    a, b, c, e = (say(100) for _ in range(4))
+    rows = [(3, a), (5, a + " end"), (5, b), (None, c), (None, a + " more"), (None, e), (9, e + " end"), (9, e + " end"), (11, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = C.toxicity(spark, docs, sf).collect()
+    assert [r for r in clean if r["doc_id"] is None]
+    kept = [tuple(r) for r in C.near_copies(spark, docs, sf).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (None, c), (9, e + " end"), (11, None), (None, None)], key=str)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(1, a + " " + item), (1, b), (None, c), (None, item)]
+    left = C.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted((tuple(r) for r in left), key=str) == sorted([(1, b), (None, c)], key=str)
