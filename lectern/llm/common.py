@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: dict[str, str] = {}
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         at = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="lectern-"))
     return at.rstrip("/")
@@ -34,16 +40,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f)
+
+
+def contained(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result written, and every other table that it has written deleted: for results that are small beside them."""
+
+    @functools.wraps(f)
+    def run(*args, **more) -> DataFrame:
+        _made.append([])
+        try:
+            result = f(*args, **more)
+            spark = result.sparkSession
+            inner = _made[-1][:]
+            out = written(result, f.__name__)
+        finally:
+            paths = _made.pop()
+        for path in inner:
+            _delete(spark, path)
+        release(spark)
+        if _made:
+            _made[-1] += paths[len(inner) :]
+        return out
+
+    return run
 
 
 def release(spark: SparkSession) -> None:

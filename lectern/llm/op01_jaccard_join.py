@@ -5,12 +5,15 @@ rarest first (shingle_index). Each such shingle opens a cell; a document is repl
 cells whose shingle is in its window of the order. Distances from any document pivot to unrelated
 texts are all 1, so this first level uses shingles as pivots; document pivots work inside the cells.
 
-Recursion in a cell. The most central member is the pivot p and its distance to every member is
-computed exactly. With t = 0.25, what lies within t of p is linked to p: one class, no pair inside
-needs to be looked at. Beyond it a member y can only be linked to a ball member x when
-d(y,p) - d(x,p) <= t (triangle inequality), so only the boundary layers meet; all members outside
-the ball go to a child cell with a pivot of their own. Cells with one member end. After `rounds`
-pivots, what is left of a cell is joined directly, under the same filters.
+Pivots in a cell. Each round a cell takes pivots: its most central member and, if it is large, three
+that are chosen by hash, which meet a cluster with a chance that follows its size. Their distances to
+every member are computed exactly. With t = 0.25, what lies within t of a pivot p is linked to p: one
+class, no pair inside needs to be looked at. Beyond it a member y can only be linked to a ball member
+x when d(y,p) - d(x,p) <= t (triangle inequality), so only the boundary layers meet; y meets a few
+deputies of the ball first, as one link into it is enough. Members outside all balls go to the next round with new pivots. After `rounds` rounds a cell of up to SMALL members is
+joined directly; a larger one is opened anew: where its members have c shingles in common, two that
+are linked share more than c of the first prefix + c of theirs, so each of these that not all
+members have opens a child cell, a proper part of the cell, and the recursion goes on there.
 
 Results are exact: every pair of sets that shares a cell is verified, or is within a ball (its
 two members then have the same class), or is ruled out by the triangle inequality, by sizes, or by
@@ -26,10 +29,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, table, written
+from .common import components, contained, drop, table, written
 from .shingle_index import index
 
-ROUNDS = 5
+ROUNDS, SMALL = 2, 8
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -67,51 +70,104 @@ def _hope(num: int) -> F.Column:
     return 100 * most >= num * (F.greatest(F.col("smallest").cast("long"), most) + F.col("n") - most)
 
 
+def _cells(seats: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of each cell with two or more, from seats(cell, cid); cells with the same members are one."""
+    who = seats.groupBy("cell").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("y")).where("c > 1")
+    named = seats.join(who.select("cell", F.xxhash64("c", "x", "y").alias("as")), "cell").select(F.col("as").alias("cell"), "cid").distinct()
+    return written(named.join(facts, "cid").select("cell", "cid", "n", "lone", "central", F.lit(0.0).alias("f"), F.lit(0).alias("w")), "cells")
+
+
+def _opened(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """seats(cell, cid) of the child cells of cells(cell, cid)."""
+    held = written(cells.select("cell", "cid").join(sets.select("cid", "prefix", "tokens"), "cid"), "large")
+    size = held.groupBy("cell").agg(F.count("*").alias("m"))
+    each = held.select("cell", F.explode("tokens").alias("token")).groupBy("cell", "token").agg(F.count("*").alias("c")).join(size, "cell")
+    common = size.select("cell").join(each.where("c = m").groupBy("cell").agg(F.collect_list("token").alias("common")), "cell", "left")
+    first = F.slice("tokens", F.lit(1), F.col("prefix") + F.greatest(F.size("common"), F.lit(0)))
+    open_ = F.array_except(first, F.coalesce("common", F.array().cast("array<long>")))
+    return held.join(common, "cell").select(F.col("cell").alias("of"), "cid", F.explode(open_).alias("token")).select(F.xxhash64("of", "token").alias("cell"), "cid")
+
+
+def _direct(cells: DataFrame, num: int) -> DataFrame:
+    """Pairs within cells that distances to one pivot, sizes and shares don't rule out."""
+    x = cells.select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("f").alias("fa"), F.col("w").alias("ba"))
+    y = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("f").alias("fb"), F.col("w").alias("bb"))
+    return x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - num / 100 + 1e-9) & _may(num)).select("a", "b")
+
+
+def _round(cells: DataFrame, sets: DataFrame, num: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to pivots, pairs of boundary layers, what is left of the cells)."""
+    t, eps = 1 - num / 100, 1e-9
+    drawn = [F.min_by("cid", F.struct(F.xxhash64("cid", F.lit(4 * seed + i)), "cid")).alias(f"p{i}") for i in range(3)]
+    lead = F.max_by("cid", F.struct("central", "cid")).alias("lead")
+    chosen = F.when(F.col("m") > SMALL, F.array_distinct(F.array("lead", "p0", "p1", "p2"))).otherwise(F.array("lead"))
+    pivots = cells.groupBy("cell").agg(F.count("*").alias("m"), lead, *drawn).select("cell", "lead", chosen.alias("chosen"))
+    near = cells.select("cell", "cid", "n", "lone", "central").join(pivots, "cell").withColumn("p", F.explode("chosen")).where("cid <> p")
+    known = written(_verified(near.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct(), sets).withColumn("far", _far()).withColumn("linked", _linked(num)), "pivots")
+    near = written(near.join(known.select(F.col("a").alias("cid"), F.col("b").alias("p"), "far", "both", "linked"), ["cid", "p"]), "near")
+    # what a pivot's ball and shell hold doesn't depend on the cell: each pair of members meets once for a pivot
+    around = near.select("p", "cid", "n", "lone", "far", "both", "linked").distinct()
+    inside, outside = F.when(F.col("linked"), F.col("n")), F.when(~F.col("linked"), F.col("far"))
+    spare = F.when(F.col("linked"), F.col("n") - F.col("lone") - F.col("both"))
+    shell = around.groupBy("p").agg(F.min(outside).alias("least"), F.min(inside).alias("smallest"), F.max(spare).alias("slack")).where("least is not null and smallest is not null")
+    around = written(around.join(shell, "p").where(F.when(F.col("linked"), F.col("far") >= F.col("least") - t - eps).otherwise((F.col("far") <= 2 * t + eps) & _hope(num))), "around")
+    out = around.where("not linked").select("p", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("far").alias("fa"), F.col("both").alias("ba"))
+    inn = around.where("linked").select("p", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("far").alias("fb"), F.col("both").alias("bb"))
+    # a ball is one class: who is linked to one of its deputies needs no other member of it
+    seat = F.struct("b", "nb", "lb", "fb", "bb")
+    drawn = [F.min_by(seat, F.struct("lb", "b")), *(F.min_by(seat, F.struct(F.xxhash64("b", F.lit(4 * seed + i)), "b")) for i in range(3))]
+    deputies = inn.groupBy("p").agg(F.array_distinct(F.array(*drawn)).alias("d")).select("p", F.explode("d").alias("d")).select("p", "d.*")
+    window = (F.col("fa") - F.col("fb") <= t + eps) & _may(num)
+    met = _verified(out.join(deputies, "p").where(window).select("a", "b").distinct(), sets).where(_linked(num)).select("a", "b")
+    met = written(met, "met")
+    settled = met.join(deputies.select("p", "b"), "b").select("p", "a").distinct()
+    layers = out.join(settled, ["p", "a"], "left_anti").join(inn, "p").where(window).select("a", "b")
+    main = F.col("p") == F.col("lead")
+    after = near.where(~F.array_contains("chosen", F.col("cid"))).groupBy("cell", "cid").agg(
+        F.max("linked").alias("inside"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("central").alias("central"),
+        F.max(F.when(main, F.col("far"))).alias("f"), F.max(F.when(main, F.col("both"))).alias("w"),
+    ).where("not inside").drop("inside")
+    more = after.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1").select("cell")
+    left = written(after.join(more, "cell"), "cells")
+    drop(near)
+    return known.where("linked").select("a", "b").unionByName(met), layers, left
+
+
+@contained
 def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between ids of sets; the classes they span are those of all links."""
-    t, eps = 1 - num / 100, 1e-9
     facts = sets.select("cid", "n", "lone", (F.col("prefix") / F.col("n")).alias("central"))
-    seats = sets.select("cid", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    # shingles with the same members open one cell
-    who = seats.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("y")).where("c > 1")
-    cells = seats.join(who.select("token", F.xxhash64("c", "x", "y").alias("cell")), "token").select("cell", "cid").distinct()
-    cells = written(cells.join(facts, "cid").select("cell", "cid", "n", "lone", "central"), "cells")
-    found, rest = [], []
-    for _ in range(rounds):
-        pivots = cells.groupBy("cell").agg(F.max_by(F.struct("cid", "n"), F.struct("central", "cid")).alias("p")).select("cell", F.col("p.cid").alias("p"))
-        near = cells.select("cell", "cid", "n", "lone", "central").join(pivots, "cell").where("cid <> p")
-        known = written(_verified(near.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct(), sets).withColumn("far", _far()).withColumn("linked", _linked(num)), "pivots")
-        found.append(known.where("linked").select("a", "b"))
-        near = near.join(known.select(F.col("a").alias("cid"), F.col("b").alias("p"), "far", "both", "linked"), ["cid", "p"])
-        near = written(near, "near")
-        # what a pivot's ball and shell hold doesn't depend on the cell: each pair of members meets once for a pivot
-        around = near.select("p", "cid", "n", "lone", "far", "both", "linked").distinct()
-        inside, outside = F.when(F.col("linked"), F.col("n")), F.when(~F.col("linked"), F.col("far"))
-        spare = F.when(F.col("linked"), F.col("n") - F.col("lone") - F.col("both"))
-        shell = around.groupBy("p").agg(F.min(outside).alias("least"), F.min(inside).alias("smallest"), F.max(spare).alias("slack")).where("least is not null and smallest is not null")
-        around = written(around.join(shell, "p").where(F.when(F.col("linked"), F.col("far") >= F.col("least") - t - eps).otherwise((F.col("far") <= 2 * t + eps) & _hope(num))), "around")
-        out = around.where("not linked").select("p", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("far").alias("fa"), F.col("both").alias("ba"))
-        inn = around.where("linked").select("p", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("far").alias("fb"), F.col("both").alias("bb"))
-        rest.append(out.join(inn, "p").where((F.col("fa") - F.col("fb") <= t + eps) & _may(num)).select("a", "b"))
-        alone = near.where("not linked").groupBy("cell").agg(F.count("*").alias("outside")).where("outside > 1").select("cell")
-        left = near.where("not linked").join(alone, "cell").select(F.xxhash64("cell", F.lit(1)).alias("cell"), "cid", "n", "lone", "central", F.col("far").alias("f"), F.col("both").alias("w"))
-        drop(cells)
-        cells = written(left, "cells")
-        if cells.isEmpty():
-            break
-    else:
-        x = cells.select("cell", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("lone").alias("la"), F.col("f").alias("fa"), F.col("w").alias("ba"))
-        y = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("lone").alias("lb"), F.col("f").alias("fb"), F.col("w").alias("bb"))
-        rest.append(x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= t + eps) & _may(num)).select("a", "b"))
-    for i, r in enumerate(rest):
-        pairs = r if i == 0 else pairs.unionByName(r)  # noqa: F821
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = _verified(pairs, sets).where(_linked(num)).select("a", "b")
+    cells = _cells(sets.select("cid", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("cell")), facts)
+    found, pairs, seed = [], [], 0
+    while not cells.isEmpty():
+        for _ in range(rounds):
+            seed += 1
+            linked, layers, left = _round(cells, sets, num, seed)
+            found.append(linked)
+            pairs.append(layers)
+            drop(cells)
+            cells = left
+            if cells.isEmpty():
+                break
+        else:
+            size = cells.groupBy("cell").agg(F.count("*").alias("m"))
+            pairs.append(_direct(cells.join(size.where(f"m <= {SMALL}").select("cell"), "cell"), num))
+            large = cells.join(size.where(f"m > {SMALL}").select("cell"), "cell")
+            children = _cells(_opened(large, sets), facts)
+            size = children.groupBy("cell").agg(F.count("*").alias("m"))
+            pairs.append(_direct(children.join(size.where(f"m <= {SMALL}").select("cell"), "cell"), num))
+            cells = written(children.join(size.where(f"m > {SMALL}").select("cell"), "cell"), "cells")
+    edges = sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    for p in pairs:
+        edges = edges.unionByName(p)
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = _verified(edges, sets).where(_linked(num)).select("a", "b")
     for f in found:
-        done = done.unionByName(f)
-    return done
+        edges = edges.unionByName(f)
+    return edges
 
 
+@contained
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, set_id, component_id: classes of J >= num/100 over k-word shingles."""
     made = written(index(docs, k, num), "sets")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import buckets, components, drop, release, table, written
+from .common import buckets, components, contained, release, table, written
 from .op01_jaccard_join import links
 from .shingle_index import index, pack, unpack
 
@@ -223,6 +223,7 @@ def _hot_links(lines: DataFrame, num: int) -> DataFrame:
     return found.join(named("a"), "a").join(named("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(same)
 
 
+@contained
 def paragraph_links(text: DataFrame, places: DataFrame, num: int = 75) -> DataFrame:
     """Links (a, b) between classes of equal paragraphs, from text(row, text) and its places."""
     spark = text.sparkSession
@@ -244,9 +245,6 @@ def paragraph_links(text: DataFrame, places: DataFrame, num: int = 75) -> DataFr
     found = near.join(x, "a").join(y, "b").where(100 * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
     if not hot.isEmpty():
         found = found.unionByName(_hot_links(read.where("words is not null").select("h", F.col("words").alias("text")).dropDuplicates(["h"]), num))
-    found = written(found, "links")
-    drop(read)
-    drop(pairs)
     return found
 
 
@@ -269,9 +267,10 @@ def _runs(least: int):
     return run
 
 
+@contained
 def removals(text: DataFrame, places: DataFrame, num: int = 75, least_run: int = LEAST_RUN) -> DataFrame:
     """row, removed: the numbers of its paragraphs that go, bytes_removed; of texts that lose any."""
-    comp = components(paragraph_links(text, places, num), "paragraphs").select(F.col("id").alias("h"), "component")
+    comp = components(paragraph_links(text, places, num)).select(F.col("id").alias("h"), "component")
     again = places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     asked = again.join(comp, "h", "full").select("h", F.coalesce("component", "h").alias("component"))
     some = written(places.join(asked, "h"), "repeated")
