@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,24 +27,48 @@ def fixed(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     return rows.select("doc_id", "chunk_idx", (F.col("chunk_idx") * step).alias("char_start"), F.least(F.col("chunk_idx") * step + size, F.col("n")).alias("char_end"))
 
 
+class Breaks:
+    """Where a text can be cut: sorted offsets, found once for the whole text and then looked up by bisection."""
+
+    def __init__(self, text: str):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.text = text
+        self.after = [(len(sep), self._behind(code, [ord(c) for c in sep])) for sep in SEPARATORS]
+        self.word = np.flatnonzero(np.isin(code, [ord(" "), ord("\n")])) + 1
+
+    @staticmethod
+    def _behind(code: np.ndarray, sep: list[int]) -> np.ndarray:
+        """The offset behind each occurrence of a separator, overlapping ones too."""
+        n = max(0, len(code) - len(sep) + 1)
+        here = np.ones(n, bool)
+        for i, c in enumerate(sep):
+            here &= code[i : i + n] == c
+        return np.flatnonzero(here) + len(sep)
+
+    def end(self, low: int, high: int) -> int:
+        """Behind the last of the best separators that stand whole in [low, high), else high."""
+        for size, after in self.after:
+            i = np.searchsorted(after, high, "right") - 1
+            if i >= 0 and after[i] - size >= low:
+                return int(after[i])
+        return high
+
+    def begin(self, at: int) -> int:
+        """at, or where the word begins that it falls into."""
+        if at > 0 and self.text[at - 1 : at + 1].isalnum():
+            i = np.searchsorted(self.word, at, "right") - 1
+            return int(self.word[i]) if i >= 0 else at
+        return at
+
+
 def cut(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of at most `size`, each ended after the best separator of its last 40 %, and begun at a word."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        stop = min(at + size, n)
-        if stop == n:
-            out.append((at, n))
-            break
-        low = at + int(size * 0.6)
-        ends = (text.rfind(s, low, stop) + len(s) for s in SEPARATORS if text.rfind(s, low, stop) >= 0)
-        stop = next(ends, stop)
-        out.append((at, stop))
-        back = stop - overlap
-        if 0 < back < n and text[back - 1].isalnum() and text[back].isalnum():
-            word = max(text.rfind(" ", 0, back), text.rfind("\n", 0, back))
-            back = word + 1 if word >= 0 else back
-        at = max(back, at + 1)
-    return out
+    breaks, spans, at = Breaks(text), [], 0
+    while at + size < len(text):
+        end = breaks.end(at + int(size * 0.6), at + size)
+        spans.append((at, end))
+        at = max(at + 1, breaks.begin(end - overlap))
+    return [*spans, (at, len(text))] if text else []
 
 
 def _cutter(size: int, overlap: int):
