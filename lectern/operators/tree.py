@@ -2,54 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
 from .assemble import PER_SECTION, admit
 from .retrieval import rerank_scores
 
 
-_own: dict[str, str] = {}
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Written to the session's shared folder and read again, so that plans of a loop don't grow."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="lectern-"))
-    path = f"{at.rstrip('/')}/tree-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def summarise_tree(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """nodes with `summary`: a leaf's from its text, another's from its children's "title: summary" in order.
 
     A child's level is greater than its parent's, so one pass for each level, deepest first, meets
-    children before parents.
+    children before parents. The nodes are settled once; a pass reads the children of its level alone.
     """
-    levels = [r[0] for r in nodes.select("level").distinct().orderBy(F.desc("level")).collect()]  # a dozen at most
+    nodes = settled(nodes, "nodes")
     text = docs.select("doc_id", F.col("text").alias("_t"))
-    leaf = nodes.where("is_leaf").join(text, "doc_id")
     own = F.substring(F.col("_t"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    done = _settled(leaf.withColumn("summary", T.summarise(own, "title")).select("doc_id", "node_id", "parent_id", "level", "title", "summary"))
-    inner = nodes.where(~F.col("is_leaf")).select("doc_id", "node_id", "parent_id", "level", "title")
-    parents = None
+    leaf = nodes.where("is_leaf").join(text, "doc_id").withColumn("summary", T.summarise(own, "title"))
+    up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("level").alias("up"))
+    facts = ["doc_id", "node_id", "parent_id", "title", "summary", "level"]
+    made = [settled(leaf.select(*facts).join(up, ["doc_id", "parent_id"], "left"), "leaves")]
+    inner = nodes.where(~F.col("is_leaf"))
+    levels = [r[0] for r in inner.select("level").distinct().orderBy(F.desc("level")).collect()]  # a dozen at most
     for level in levels:
-        here = inner.where(F.col("level") == level)
-        child = done if parents is None else done.unionByName(parents)
+        child = made[0].where(F.col("up") == level)
+        for m in made[1:]:
+            child = child.unionByName(m.where(F.col("up") == level))
         parts = F.array_sort(F.collect_list(F.struct(F.length("node_id").alias("digits"), F.col("node_id"), F.concat(F.col("title"), F.lit(": "), F.col("summary")).alias("x"))))
-        body = child.groupBy("doc_id", F.col("parent_id").alias("up")).agg(F.array_join(F.transform(parts, lambda x: x["x"]), " ").alias("_b"))
-        body = body.withColumnRenamed("up", "node_id")
-        new = here.join(body, ["doc_id", "node_id"]).withColumn("summary", T.summarise("_b", "title")).select("doc_id", "node_id", "parent_id", "level", "title", "summary")
-        if not here.isEmpty():
-            parents = _settled(new if parents is None else parents.unionByName(new))
-    both = done if parents is None else done.unionByName(parents)
-    return nodes.join(both.select("doc_id", "node_id", "summary"), ["doc_id", "node_id"])
+        body = child.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(parts, lambda x: x["x"]), " ").alias("_b"))
+        here = inner.where(F.col("level") == level).join(body, ["doc_id", "node_id"]).withColumn("summary", T.summarise("_b", "title"))
+        made.append(settled(here.select(*facts).join(up, ["doc_id", "parent_id"], "left"), "parents"))
+    both = made[0]
+    for m in made[1:]:
+        both = both.unionByName(m)
+    return settled(nodes.join(both.select("doc_id", "node_id", "summary"), ["doc_id", "node_id"]), "summaries")
 
 
 def summary_quality(nodes: DataFrame) -> DataFrame:
@@ -74,25 +62,29 @@ def beam_search(nodes: DataFrame, queries: DataFrame, beam: int = 2, max_depth:
     within its node, then by the node's place, for `beam` places of the next level. At max_depth
     what is still on the frontier is collected as it is.
     """
-    tree = nodes.select("doc_id", "node_id", "parent_id", "is_leaf", "title", "summary")
-    frontier = queries.select("query_id", "doc_id", "question", F.lit("0000").alias("node_id"), F.lit(0).alias("place"))
-    frontier = _settled(frontier.join(tree.select("doc_id", "node_id", "is_leaf"), ["doc_id", "node_id"]))
+    # words are taken once from each node and question, not at each place a beam passes
+    said = F.array_distinct(T.content_words(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))))
+    asked = queries.select("query_id", "doc_id", F.array_distinct(T.content_words("question")).alias("question"))
+    tree = settled(nodes.join(queries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "node_id", "parent_id", "is_leaf", said.alias("said")), "tree")
+    frontier = asked.withColumn("node_id", F.lit("0000")).withColumn("place", F.lit(0))
+    frontier = settled(frontier.join(tree.select("doc_id", "node_id", "is_leaf"), ["doc_id", "node_id"]), "frontier")
     found, trace = [], []
     by_query = Window.partitionBy("query_id", "doc_id")
     for depth in range(max_depth):
         found.append(frontier.where("is_leaf").select("query_id", "doc_id", "node_id", F.lit(depth).alias("depth"), "place"))
         opened = frontier.where("not is_leaf")
         kids = opened.select("query_id", "doc_id", "question", F.col("node_id").alias("at_id"), "place").join(
-            tree.select("doc_id", F.col("parent_id").alias("at_id"), "node_id", F.col("is_leaf"), "title", "summary"), ["doc_id", "at_id"]
+            tree.select("doc_id", F.col("parent_id").alias("at_id"), "node_id", F.col("is_leaf"), "said"), ["doc_id", "at_id"]
         )
-        kids = kids.withColumn("score", F.round(T.overlap_score("question", F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))), 9))
+        share = F.when(F.size("question") > 0, F.size(F.array_intersect("question", "said")) / F.size("question")).otherwise(F.lit(0.0))
+        kids = kids.withColumn("score", F.round(share, 9))
         node = Window.partitionBy("query_id", "doc_id", "at_id").orderBy(F.desc("score"), F.length("node_id"), "node_id")
         kids = kids.withColumn("pick", F.row_number().over(node))
         best = F.max("score").over(Window.partitionBy("query_id", "doc_id", "at_id"))
         kids = kids.withColumn("picked", ((F.col("score") > 0) & (F.col("pick") <= beam)) | ((best <= 0) & (F.col("pick") == 1)))
         order = F.row_number().over(by_query.orderBy(F.desc(F.col("picked")), "pick", "place"))
         kids = kids.withColumn("next", order).withColumn("chosen", F.col("picked") & (F.col("next") <= beam))
-        kids = _settled(kids.select("query_id", "doc_id", "question", "at_id", "place", "node_id", "is_leaf", "pick", "picked", "next", "chosen"))
+        kids = settled(kids.select("query_id", "doc_id", "question", "at_id", "place", "node_id", "is_leaf", "pick", "picked", "next", "chosen"))
         trace.append(kids.select("query_id", "doc_id", F.lit(depth).alias("depth"), "place", "at_id", "node_id", "chosen", (F.col("picked") & ~F.col("chosen")).alias("cut_by_beam")))
         frontier = kids.where("chosen").select("query_id", "doc_id", "question", "node_id", "is_leaf", (F.col("next") - 1).alias("place"))
         if frontier.isEmpty():

@@ -1,4 +1,6 @@
-"""From pages to answers, by vectors and by outline; every stage is lazy and handles all documents and questions at once.
+"""From pages to answers, by vectors and by outline, for all documents and questions at once.
+
+A stage settles the tables that several later steps read, so each plan covers one stage only.
 
 State of the vector path: pages -> spans, documents -> chunks -> postings, stats, vocab, weights;
 then questions(query_id, doc_id, question) -> dense, sparse -> fused -> reranked -> contexts -> answers.
@@ -18,13 +20,14 @@ from ..operators import outline as O
 from ..operators import retrieval as R
 from ..operators import tree as TR
 from ..operators import vectors as V
+from ..session import settled
 from .graph import Compiled, State, chain
 
 
 def parse(s: State) -> State:
-    spans = P.merged_spans(s["pages"], s.get("drop_toc", True))
+    spans = settled(P.merged_spans(s["pages"], s.get("drop_toc", True)), "spans")
     source = s["pages"].groupBy("doc_id").agg(F.first("source").alias("source")) if "source" in s["pages"].columns else s["pages"].select("doc_id", F.col("doc_id").cast("string").alias("source")).distinct()
-    return {"spans": spans, "documents": P.merge(spans).join(source, "doc_id"), "page_documents": P.parse_per_page(s["pages"], s.get("drop_toc", True))}
+    return {"spans": spans, "documents": settled(P.merge(spans).join(source, "doc_id"), "documents"), "page_documents": P.parse_per_page(s["pages"], s.get("drop_toc", True))}
 
 
 def chunk(s: State) -> State:
@@ -32,21 +35,23 @@ def chunk(s: State) -> State:
     name = s.get("strategy", "recursive")
     spans = C.chunk(docs, name, s.get("size", 800), s.get("overlap", 100), s.get("boundaries"))
     rows = O.with_pages(C.to_rows(spans, docs, name), s["spans"], ["doc_id", "chunk_idx"])
-    return {"chunks": rows}
+    return {"chunks": settled(rows, "chunks")}
 
 
 def embed(s: State) -> State:
     units = s["chunks"].select(F.col("doc_id").alias("scope"), F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id").alias("unit"), "text")
-    post = V.postings(units)
-    stats = V.scope_stats(units, post)
-    vocab = V.vocabulary(post, stats, s.get("min_df", 1), s.get("max_df_ratio", 1.0), s.get("max_terms"))
+    post = settled(V.postings(units), "postings")
+    stats = settled(V.scope_stats(units, post), "stats")
+    vocab = settled(V.vocabulary(post, stats, s.get("min_df", 1), s.get("max_df_ratio", 1.0), s.get("max_terms")), "vocabulary")
     raw = V.tfidf(post, vocab, s.get("sublinear", True))
     out = {"units": units, "postings": post, "stats": stats, "vocab": vocab, "weights": V.l2(raw), "backend": s.get("backend", "tfidf")}
     if out["backend"] == "svd":
-        out["components"] = V.svd(raw, s.get("dimensions", 96))
+        raw = settled(raw, "weights")
+        out["components"] = settled(V.svd(raw, s.get("dimensions", 96)), "components")
         out["weights"] = V.project(raw, out["components"])
     elif out["backend"] != "tfidf":
         raise ValueError("backend must be tfidf or svd")
+    out["weights"] = settled(out["weights"], "weights")
     return out
 
 
@@ -67,23 +72,23 @@ def retrieve(s: State) -> State:
     else:
         dense = R.cosine_scores(q, s["weights"], s["vocab"])
     sparse = R.bm25_scores(q, s["postings"], s["stats"])
-    return {"dense": R.ranked(R.complete(dense, q, s["units"])), "sparse": R.ranked(R.complete(sparse, q, s["units"]))}
+    return {k: settled(R.ranked(R.complete(x, q, s["units"])), k) for k, x in (("dense", dense), ("sparse", sparse))}
 
 
 def fuse(s: State) -> State:
-    return {"fused": R.ranked(R.rrf([(s["dense"], 1.0), (s["sparse"], 1.0)]))}
+    return {"fused": settled(R.ranked(R.rrf([(s["dense"], 1.0), (s["sparse"], 1.0)])), "fused")}
 
 
 def rerank(s: State) -> State:
     short = s["fused"].where(F.col("rank") <= s.get("rerank_width", 50))
-    return {"reranked": R.ranked(R.rerank_scores(short, _queries(s), s["units"]), s.get("top_k", 5))}
+    return {"reranked": settled(R.ranked(R.rerank_scores(short, _queries(s), s["units"]), s.get("top_k", 5)), "reranked")}
 
 
 def assemble(s: State) -> State:
     label = F.coalesce(O.page_label(), F.lit("pNone"))
     chunks = s["chunks"].select(F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id").alias("unit"), "chunk_id", "char_start", "start_page", label.alias("label"), "text")
     short = s["reranked"].select("query_id", "unit", (F.col("rank") - 1).alias("place")).join(chunks, "unit").join(s["questions"].select("query_id", "question"), "query_id")
-    return {"contexts": A.assemble(short, s.get("budget", 2000), s.get("ordering", "best_last"))}
+    return {"contexts": settled(A.assemble(short, s.get("budget", 2000), s.get("ordering", "best_last")), "contexts")}
 
 
 def generate(s: State) -> State:
@@ -103,19 +108,21 @@ def summarise(s: State) -> State:
     by = Window.partitionBy("doc_id").orderBy("line_no")
     found = lines.withColumn("char_start", (F.sum(F.length("line") + 1).over(by) - F.length("line") - 1).cast("int")).withColumn("h", match("line")).where("h is not null")
     heads = found.select("doc_id", (F.row_number().over(by) - 1).alias("heading_idx"), "h.number", "h.title", "h.level", "char_start", "n_chars")
+    heads = settled(heads, "headings")
     nodes = O.with_pages(O.build_tree(heads, docs), s["spans"], ["doc_id", "node_id"])
     return {"headings": heads, "nodes": TR.summarise_tree(nodes, docs)}
 
 
 def tree_search(s: State) -> State:
     found, trace = TR.beam_search(s["nodes"], s["questions"], s.get("beam", 2), s.get("max_depth", 6))
+    found, trace = settled(found, "found"), settled(trace, "hops")
     return {"found": found, "hops": trace, "pruned": TR.pruned(trace)}
 
 
 def tree_context(s: State) -> State:
     text = O.node_text(s["nodes"], s["documents"]).withColumn("label", F.coalesce(O.page_label(), F.lit("pNone")))
     c = TR.section_context(s["found"], text, s["questions"], s.get("budget", 2000))
-    return {"contexts": s["questions"].select("query_id", "question").join(c, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))}
+    return {"contexts": settled(s["questions"].select("query_id", "question").join(c, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(""))), "contexts")}
 
 
 def vector_index() -> Compiled:
