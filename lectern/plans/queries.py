@@ -464,14 +464,14 @@ def bm25_sweep(spark, d):
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """units, queries, and the first fifty by BM25 and by cosine."""
+    """units, queries, and the whole rankings by BM25 and by cosine."""
     units, queries, post, stats = _bm25(spark, d)
     vocab = V.vocabulary(post, stats)
-    return units, queries, R.ranked(R.bm25_scores(queries, post, stats), 50), R.ranked(R.cosine_scores(queries, V.l2(V.tfidf(post, vocab)), vocab), 50)
+    return units, queries, R.ranked(R.bm25_scores(queries, post, stats)), R.ranked(R.cosine_scores(queries, V.l2(V.tfidf(post, vocab)), vocab))
 
 
 _FUSED = f"""{S.CORPUS}, {S.COSINE},
-rb as (select * from bmrank where rank <= 50), rc as (select * from cosrank where rank <= 50),
+rb as (select * from bmrank), rc as (select * from cosrank),
 fu as (select query_id, unit, sum(1.0 / (60 + rank)) as score from (select query_id, unit, rank from rb union all select query_id, unit, rank from rc) group by all),
 fr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, unit) as rank from fu)"""
 
@@ -548,7 +548,7 @@ def index_types(spark, d):
 
 # ---- evaluation
 
-_REL = f"{S.CORPUS}, rk as (select query_id, unit, rank from bmrank where rank <= 20), rel as (select query_id, unit from rk join benchmark on item_id = query_id join documents on doc_id = unit where contains(documents.text, benchmark.text))"
+_REL = f"{S.CORPUS}, rk as (select query_id, unit, rank from bmrank), rel as (select distinct item_id as query_id, doc_id as unit from benchmark b join documents d on b.text <> '' and contains(d.text, b.text))"
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -560,8 +560,8 @@ def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _CASES = f"""{_REL},
 nr as (select query_id, count(*) as n_relevant from rel group by query_id),
 pc as (select n.query_id, n_relevant, count(*) filter (r.rank <= 5 and rel.unit is not null) as hits, count(*) filter (r.rank <= 5) as returned, min(r.rank) filter (rel.unit is not null) as first_rank, coalesce(sum(1 / log2(r.rank + 1)) filter (r.rank <= 5 and rel.unit is not null), 0) as dcg
-  from nr n join rk r using (query_id) left join rel on rel.query_id = r.query_id and rel.unit = r.unit group by all),
-pm as (select query_id, n_relevant, hits, first_rank, hits / n_relevant as recall, hits / returned as precision, 1.0 / first_rank as reciprocal_rank, case when hits > 0 then 1.0 else 0.0 end as hit, dcg / list_sum(list_transform(range(1, least(n_relevant, 5) + 1), lambda i: 1 / log2(i + 1))) as ndcg from pc)"""
+  from nr n left join rk r using (query_id) left join rel on rel.query_id = r.query_id and rel.unit = r.unit group by all),
+pm as (select query_id, n_relevant, hits, first_rank, hits / n_relevant as recall, case when returned > 0 then hits / returned else 0 end as precision, coalesce(1.0 / first_rank, 0) as reciprocal_rank, case when hits > 0 then 1.0 else 0.0 end as hit, dcg / list_sum(list_transform(range(1, least(n_relevant, 5) + 1), lambda i: 1 / log2(i + 1))) as ndcg from pc)"""
 
 
 @query(f"with {_CASES} select query_id, n_relevant, hits, first_rank, round(recall, 6) as recall, round(precision, 6) as precision, round(reciprocal_rank::double, 6) as reciprocal_rank, hit::double as hit, round(ndcg, 6) as ndcg from pm")
@@ -570,7 +570,7 @@ def retrieval_cases(spark, d):
     return E.per_case(r, rel, 5).select("query_id", "n_relevant", "hits", F.col("first_rank").cast("long").alias("first_rank"), six("recall"), six("precision"), six("reciprocal_rank"), "hit", six("ndcg"))
 
 
-@query(f"with {_CASES} select count(*) as n_cases, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision, round(avg(1.0 / first_rank)::double, 6) as reciprocal_rank, round(avg(hit)::double, 6) as hit, round(avg(ndcg), 6) as ndcg from pm")
+@query(f"with {_CASES} select count(*) as n_cases, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision, round(avg(coalesce(1.0 / first_rank, 0))::double, 6) as reciprocal_rank, round(avg(hit)::double, 6) as hit, round(avg(ndcg), 6) as ndcg from pm")
 def retrieval_metrics(spark, d):
     r, rel = _judged(spark, d)
     return E.evaluate(E.per_case(r, rel, 5)).select("n_cases", *[six(c) for c in ("recall", "precision", "reciprocal_rank", "hit", "ndcg")])
@@ -660,18 +660,15 @@ def grounding(spark, d):
     return g.select("conv_id", "no", F.round("g.coverage", 6).alias("coverage"), F.array_join("g.unsupported", ",").alias("unsupported"))
 
 
-@query(f"with {_TURNS} select conv_id, no, 'c' || conv_id || ',c9' as cited, 'c9' as unknown, false as valid from t")
+@query(f"with {_TURNS} select conv_id, no, 'c' || conv_id || ',c09' as cited, 'c09' as unknown, false as valid from t")
 def citation_check(spark, d):
-    """An answer that cites the turn that was sent and one that wasn't."""
+    """An answer that cites the turn that was sent and one that wasn't: no number is written with a leading 0."""
     own = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
-    answer = F.concat("text", F.lit(" ["), own, F.lit(", p3] and [c9]"))
-    c = _turns(spark, d).where(own != "c9").select("conv_id", F.col("no").cast("long").alias("no"), A.check_citations(answer, F.array(own)).alias("c"))
+    answer = F.concat("text", F.lit(" ["), own, F.lit(", p3] and [c09]"))
+    c = _turns(spark, d).select("conv_id", F.col("no").cast("long").alias("no"), A.check_citations(answer, F.array(own)).alias("c"))
     return c.select("conv_id", "no", F.array_join("c.cited", ",").alias("cited"), F.array_join("c.unknown", ",").alias("unknown"), "c.valid")
 
 
-SQL["citation_check"] = SQL["citation_check"].replace("false as valid from t", "false as valid from t where conv_id <> 9")
-
-
 @query("""with recursive p as (select conv_id, cast(row_number() over (partition by conv_id order by turn, role, text) - 1 as bigint) as place, cast(floor(length(text) / 4) + 1 as bigint) as cost from conversations),
 r as (select conv_id, place, cost, cost <= 300 as admitted, case when cost <= 300 then cost else 0 end as used from p where place = 0
   union all select p.conv_id, p.place, p.cost, r.used + p.cost <= 300, case when r.used + p.cost <= 300 then r.used + p.cost else r.used end from p join r on p.conv_id = r.conv_id and p.place = r.place + 1)

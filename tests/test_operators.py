@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,33 @@ def test_graph():
         Graph().add_node("a", dict).add_edge("a", "a").set_entry_point("a").compile()
 
 
+def naive_cut(text, size, overlap):
+    """Spans by trying every end: the best separator first, then the furthest; a start inside a word moves back to its first letter."""
+    out, at = [], 0
+    while at < len(text):
+        if at + size >= len(text):
+            return [*out, (at, len(text))]
+        low, high = at + int(size * 0.6), at + size
+        found = [(rank, -e) for rank, sep in enumerate(C.SEPARATORS) for e in range(low + len(sep), high + 1) if text[e - len(sep) : e] == sep]
+        end = -min(found)[1] if found else high
+        out.append((at, end))
+        b = end - overlap
+        if b > 0 and text[b - 1].isalnum() and text[b].isalnum():
+            before = [i for i in range(b) if text[i] in " \n"]
+            b = before[-1] + 1 if before else b
+        at = max(b, at + 1)
+    return out
+
+
+def test_recursive_cut_by_trying_all():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b", "é", "\U0001f600", " ", " ", "\n", "\n\n", ". ", "; ", "."]) for _ in range(rng.randint(0, 120)))
+        size = rng.randint(1, 30)
+        overlap = rng.randrange(size)
+        assert C.cut(text, size, overlap) == naive_cut(text, size, overlap)
+
+
 def test_pipelines_answer(spark):
     pages = files.sample(spark)
     questions = spark.createDataFrame([(1, "sample", "who measures fuel before each trip"), (2, "sample", "zzz qqq")], "query_id int, doc_id string, question string")
