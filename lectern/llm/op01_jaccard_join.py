@@ -10,10 +10,9 @@ that are chosen by hash, which meet a cluster with a chance that follows its siz
 every member are computed exactly. With t = 0.25, what lies within t of a pivot p is linked to p: one
 class, no pair inside needs to be looked at. Beyond it a member y can only be linked to a ball member
 x when d(y,p) - d(x,p) <= t (triangle inequality), so only the boundary layers meet; y meets a few
-deputies of the ball first, as one link into it is enough. Members outside all balls go to the next round with new pivots. After `rounds` rounds a cell of up to SMALL members
-is joined directly. Of a larger one those stay that have 75 % of their shingles in common with the
-others together, as a link needs; texts that share a passage and nothing else end here, and the
-rounds go on with new pivots. After CYCLES of this what is left of a cell is joined directly.
+deputies of the ball first, as one link into it is enough. Members outside all balls go to the next round with new pivots. After `rounds` rounds what is left of a cell is joined
+directly, under the same bounds; one of more than LARGE members is first opened anew, by the shingles
+that not all of them have.
 
 Results are exact: every pair of sets that shares a cell is verified, or is within a ball (its
 two members then have the same class), or is ruled out by the triangle inequality, by sizes, or by
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, contained, drop, table, written
 from .shingle_index import index
 
-ROUNDS, CYCLES, SMALL = 2, 2, 8
+ROUNDS, SMALL, LARGE = 3, 8, 256
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -77,14 +76,16 @@ def _cells(seats: DataFrame, facts: DataFrame) -> DataFrame:
     return written(named.join(facts, "cid").select("cell", "cid", "n", "lone", "central", F.lit(0.0).alias("f"), F.lit(0).alias("w")), "cells")
 
 
-def _hopeful(cells: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """cells without the members that have too few shingles in common with all others of their cell together."""
-    seats = cells.select("cell", "cid").join(sets.select("cid", F.explode("tokens").alias("token")), "cid")
-    met = seats.groupBy("cell", "token").agg(F.count("*").alias("c")).where("c > 1").select("cell", "token")
-    common = seats.join(met, ["cell", "token"]).groupBy("cell", "cid").agg(F.count("*").alias("common"))
-    kept = cells.join(common, ["cell", "cid"]).where(100 * F.col("common") >= num * F.col("n")).drop("common")
-    more = kept.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1").select("cell")
-    return written(kept.join(more, "cell"), "cells")
+def _opened(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """seats(cell, cid) of the child cells of cells(cell, cid): where the members have c shingles in common, two that are
+    linked share more than c of their first prefix + c, so one at least that not all members have; each of these is a child."""
+    held = written(cells.select("cell", "cid").join(sets.select("cid", "prefix", "tokens"), "cid"), "large")
+    size = held.groupBy("cell").agg(F.count("*").alias("m"))
+    each = held.select("cell", F.explode("tokens").alias("token")).groupBy("cell", "token").agg(F.count("*").alias("c")).join(size, "cell")
+    common = size.select("cell").join(each.where("c = m").groupBy("cell").agg(F.collect_list("token").alias("common")), "cell", "left")
+    common = common.select("cell", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+    first = F.slice("tokens", F.lit(1), F.col("prefix") + F.size("common"))
+    return held.join(common, "cell").select(F.col("cell").alias("of"), "cid", F.explode(F.array_except(first, "common")).alias("token")).select(F.xxhash64("of", "token").alias("cell"), "cid")
 
 
 def _direct(cells: DataFrame, num: int) -> DataFrame:
@@ -137,23 +138,20 @@ def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between ids of sets; the classes they span are those of all links."""
     facts = sets.select("cid", "n", "lone", (F.col("prefix") / F.col("n")).alias("central"))
     cells = _cells(sets.select("cid", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("cell")), facts)
-    found, pairs, seed, cycle = [], [], 0, 1
-    while not cells.isEmpty():
-        for _ in range(rounds):
-            seed += 1
-            linked, layers, left = _round(cells, sets, num, seed)
-            found.append(linked)
-            pairs.append(layers)
-            drop(cells)
-            cells = left
-            if cells.isEmpty():
-                break
-        else:
-            size = cells.groupBy("cell").agg(F.count("*").alias("m"))
-            end = SMALL if cycle < CYCLES else 2**31 - 1
-            pairs.append(_direct(cells.join(size.where(f"m <= {end}").select("cell"), "cell"), num))
-            cells = _hopeful(cells.join(size.where(f"m > {end}").select("cell"), "cell"), sets, num)
-            cycle += 1
+    found, pairs = [], []
+    for seed in range(rounds):
+        linked, layers, left = _round(cells, sets, num, seed)
+        found.append(linked)
+        pairs.append(layers)
+        drop(cells)
+        cells = left
+        if cells.isEmpty():
+            break
+    else:
+        size = cells.groupBy("cell").agg(F.count("*").alias("m"))
+        pairs.append(_direct(cells.join(size.where(f"m <= {LARGE}").select("cell"), "cell"), num))
+        large = cells.join(size.where(f"m > {LARGE}").select("cell"), "cell")
+        pairs.append(_direct(_cells(_opened(large, sets), facts), num))
     edges = sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     for p in pairs:
         edges = edges.unionByName(p)

@@ -277,6 +277,22 @@ def test_op4_links_all_pairs_of_large_bands(spark):
     assert got == want and len(set(want.values())) < 100
 
 
+def test_op1_large_cells_opened_anew(spark, monkeypatch):
+    """Members of one cell that share much and are linked in few pairs, found after the cell is opened by further shingles."""
+    monkeypatch.setattr(op1, "LARGE", 2)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(24)]
+    texts = []
+    for i in range(60):
+        tail = [f"t{i // 2}x{j}" for j in range(9)]
+        texts.append(" ".join(base + tail + ([f"z{i}"] if i % 2 else [])))
+    texts += [" ".join(base[: rng.randint(10, 24)] + [f"q{i}x{j}" for j in range(9)]) for i in range(30)]
+    sets = [shingle_set(t) for t in texts]
+    want = classes(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["component_id"] for r in op1.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_op4_bands_are_tuned():
     for share in (0.5, 0.75, 0.9):
         bands, rows = op4.tuned(share, 0.99)
