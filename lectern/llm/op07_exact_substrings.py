@@ -5,11 +5,11 @@ of equals. The choice depends on the window's bytes alone, so equal windows, whe
 have equal anchors at equal offsets, and a text of n bytes has about 2n/(L-k) anchors rather than n
 windows to compare.
 
-1. Anchors are dealt out by hash range as packed (hash, context hash) pairs; the context is all
+1. Anchors are dealt out by a mix of their hash as packed (hash, context hash) pairs; the context is all
    that the anchor's windows cover. A hash that occurs once: none of its windows repeats. A context
    that occurs twice: all of them do. The rest, the rims of matches, stay open.
 2. For open anchors, and one of each repeated context that shares a hash with them, the rolling hash
-   of each window is dealt out by value range and counted.
+   of each window is dealt out in the same way and counted.
 3. Covered bytes are removed and the rest is hashed.
 
 Hashes have 64 bits. Parts follow the shuffle width, so a task's share doesn't grow with the input,
@@ -107,7 +107,8 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _send(keys: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple]:
-    part = _part(keys, parts)
+    # an anchor's hash is the least of a window, so nearly all of them are small: mixed again, they spread over all parts
+    part = _part(K.mix(keys), parts)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     return [(p, pack(keys[o], *(c[o] for c in columns))) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]

@@ -378,6 +378,18 @@ def test_op7(docs, empty, length):
     assert op7.remove_repeats(empty, length).count() == 0
 
 
+def test_op7_anchors_fill_all_parts():
+    """Anchors are least hashes: dealt out by their value, nearly all of them would meet in one part."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 4000)) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts, pa.string())], names=["row", "text"])
+    size = Counter()
+    for b in op7._deal_anchors(16, 200)(iter([batch])):
+        for p, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            size[p] += len(payload)
+    assert len(size) == 16 and max(size.values()) < 2 * sum(size.values()) / 16
+
+
 def test_op7_text_and_long(spark, monkeypatch):
     monkeypatch.setattr(op7, "SEGMENT", 1000)
     rng = np.random.default_rng(0)
