@@ -12,8 +12,9 @@ Equal vectors are one entry with a count. Cells are dealt out by the first codew
 list and its visitors are cut into blocks of bounded size that meet pairwise, so no group is
 gathered in one task.
 
-Vectors that are null, zero or of another length than most, or hold null or non-finite numbers,
-link with nothing. Repeated rows are vectors of their own. Rows without vec_id are left out;
+Vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing. Each
+length, of which there are few, has an index of its own: vectors of two lengths have no cosine.
+Components may be of any size that a double holds. Repeated rows are vectors of their own. Rows without vec_id are left out;
 labels and other columns are not read.
 """
 
@@ -161,35 +162,45 @@ def _verify(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, sample: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """vectors(vec_id, embedding) -> (rows: vec_id, class; links: a, b between classes). class: the smallest vec_id among equal vectors."""
-    v = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    # NaN is equal to itself here, and an infinite or null member makes the bound fail or null
-    sane = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e150)) & F.exists("x", lambda e: F.abs(e) > 1e-150)
-    v = v.withColumn("dim", F.when(F.coalesce(sane, F.lit(False)), F.size("x")))
-    common = v.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        none = vectors.sparkSession.createDataFrame([], "a long, b long")
-        return v.select("vec_id", F.lit(None).cast("long").alias("class")), none
-    dim = common["dim"]
-    good = v.where(F.col("dim") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("x").cast("array<string>")), 256))
+def _linked(good: DataFrame, dim: int, least: float, sample: int) -> tuple[DataFrame, DataFrame]:
+    """good(vec_id, x), all of one length -> (rows: vec_id, class; links: a, b between classes)."""
+    good = good.withColumn("key", F.sha2(F.concat_ws(",", F.col("x").cast("array<string>")), 256))
     classes = good.groupBy("key").agg(F.min("vec_id").alias("class"), F.first("x").alias("x"))
     listed = written(classes.select("class", "x", "key"), "vectors")
     n = listed.count()
     got = listed.orderBy("key").select("x").limit(sample).toArrow()
     x = np.array(got["x"].to_pylist())
-    grid = Grid(x / np.linalg.norm(x, axis=1, keepdims=True), int(np.clip(round(np.sqrt(n / 16)), 1, 512)), least)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grid = Grid(x, int(np.clip(round(np.sqrt(n / 16)), 1, 512)), least)
     # how full the lists get, from the sample: only the number of blocks depends on it
-    i, _ = grid.home(x / np.linalg.norm(x, axis=1, keepdims=True))
+    i, _ = grid.home(x)
     full = np.bincount(i, minlength=grid.k) * (n / len(x))
     homes = np.maximum(1, np.ceil(full / HOME)).astype(int)
-    vi, _ = grid.traverse((x / np.linalg.norm(x, axis=1, keepdims=True))[:1024])
+    vi, _ = grid.traverse(x[:1024])
     asked = np.bincount(np.concatenate([np.unique(r) for r in vi]), minlength=grid.k) * (n / len(vi))
     guests = np.maximum(1, np.ceil(asked / VISIT)).astype(int)
     meet = listed.select("class", "x").mapInArrow(K.tidy(_deal(grid, dim, homes, guests)), _MEET)
     links = meet.groupBy("first", "home_block", "visit_block").applyInArrow(K.tidy(_verify(least)), "a long, b long").distinct()
     rows = good.select("vec_id", "key").join(listed.select("key", "class"), "key").select("vec_id", "class")
-    return rows.unionByName(v.where(F.coalesce(F.col("dim") != dim, F.lit(True))).select("vec_id", F.lit(None).cast("long").alias("class"))), written(links, "links")
+    return rows, written(links, "links")
+
+
+def near_vectors(vectors: DataFrame, least: float = LEAST, sample: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """vectors(vec_id, embedding) -> (rows: vec_id, class; links: a, b between classes). class: the smallest vec_id among equal vectors."""
+    v = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    # NaN is equal to itself here, and an infinite or null member makes the bound fail or null
+    sane = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
+    v = v.withColumn("dim", F.when(F.coalesce(sane, F.lit(False)), F.size("x")))
+    good = v.where("dim is not null")
+    # by a power of two, which is exact: no square of a huge or tiny component leaves the range of a double
+    power = F.greatest(F.least(F.floor(F.log2(F.array_max(F.transform("x", F.abs)))), F.lit(1023)), F.lit(-1074))
+    good = good.withColumn("unit", F.pow(F.lit(2.0), power)).withColumn("x", F.transform("x", lambda e: e / F.col("unit")))
+    rows = v.where("dim is null").select("vec_id", F.lit(None).cast("long").alias("class"))
+    links = vectors.sparkSession.createDataFrame([], "a long, b long")
+    for dim in sorted(r["dim"] for r in good.select("dim").distinct().collect()):
+        some, found = _linked(good.where(F.col("dim") == dim).select("vec_id", "x"), dim, least, sample)
+        rows, links = rows.unionByName(some), links.unionByName(found)
+    return rows, links
 
 
 def dedup_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:

@@ -162,6 +162,14 @@ def test_op3(spark):
     assert op3.dedup_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_op3_lengths_and_magnitudes(spark):
+    big = [1e300, -1e300, 0.0, 1e299]
+    vec = [big, [x * 1e-305 * 1e-300 for x in big], [1.0, -1.0, 0.0, 0.1], [5e-324, 0.0, 0.0, 0.0], [1.7976931348623157e308, 0.0, 0.0, 0.0], [1.0, 2.0], [3.0, 6.1], [2.0, -1.0], [float("inf")] * 4, [1.0, None], [], [7.0], [0.5]]
+    rows = list(enumerate(vec))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op3.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9), 10: (0, 10), 11: (1, 11), 12: (1, 11)}
+
+
 def op4_pieces(text):
     """Words of each paragraph of a text, by the definition: a cut before the least 5-word shingle of every CUT in a row, the first of equals."""
     w = (text or "").encode().lower().split()
