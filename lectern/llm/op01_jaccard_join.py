@@ -10,7 +10,11 @@ that are chosen by hash, which meet a cluster with a chance that follows its siz
 every member are computed exactly. With t = 0.25, what lies within t of a pivot p is linked to p: one
 class, no pair inside needs to be looked at. Beyond it a member y can only be linked to a ball member
 x when d(y,p) - d(x,p) <= t (triangle inequality), so only the boundary layers meet; y meets a few
-deputies of the ball first, as one link into it is enough. Members outside all balls go to the next round with new pivots. After `rounds` rounds what is left of a cell is joined
+deputies of the ball first, as one link into it is enough. Layers of more than a few rows a member
+don't meet pair by pair: with S the shingles by which a member differs from the ball (from what most of it
+holds), |x & y| = (|x| + |y| - |S(x)| - |S(y)|) / 2 + |S(x) & S(y)|. So either no common difference is needed
+and y is linked to the one nearest to the ball, or x and y share one of the first of their differences, rarest
+first. Members outside all balls go to the next round with new pivots. After `rounds` rounds what is left of a cell is joined
 directly, under the same bounds; one of more than LARGE members is first opened anew, by the shingles
 that not all of them have.
 
@@ -25,13 +29,15 @@ out; repeated rows are copies; further columns of the input are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, contained, drop, table, written
 from .shingle_index import index
 
-ROUNDS, SMALL, LARGE = 3, 8, 256
+ROUNDS, SMALL, LARGE, WIDE = 3, 8, 256, 16
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -95,8 +101,46 @@ def _direct(cells: DataFrame, num: int) -> DataFrame:
     return x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - num / 100 + 1e-9) & _may(num)).select("a", "b")
 
 
-def _round(cells: DataFrame, sets: DataFrame, num: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links to pivots, pairs of boundary layers, what is left of the cells)."""
+def _window(num: int) -> F.Column:
+    return (F.col("fa") - F.col("fb") <= 1 - num / 100 + 1e-9) & _may(num)
+
+
+def _layers(out: DataFrame, inn: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """Pairs (a, b) of members outside and inside a ball that may be linked, but for one pair of those that surely are."""
+    at = ["p", "seed"]
+    size = written(out.groupBy(at).agg(F.count("*").alias("o")).join(inn.groupBy(at).agg(F.count("*").alias("i")), at), "balls")
+    wide = size.where(f"o * i > {WIDE} * (o + i)")
+    few = out.join(size.where(f"o * i <= {WIDE} * (o + i)").select(at), at).join(inn, at).where(_window(num)).select("a", "b")
+    if wide.isEmpty():
+        return few
+    rows = out.select(*at, F.col("a").alias("c"), F.lit(True).alias("outer"), F.col("na").alias("n"))
+    rows = rows.unionByName(inn.select(*at, F.col("b").alias("c"), F.lit(False).alias("outer"), F.col("nb").alias("n"))).join(wide.select(*at, "i"), at)
+    rows = rows.join(sets.select(F.col("cid").alias("c"), "tokens"), "c").join(sets.select(F.col("cid").alias("p"), F.col("tokens").alias("of")), "p")
+    apart = F.concat(F.array_except("tokens", "of"), F.array_except("of", "tokens")).alias("apart")
+    rows = written(rows.select(*at, "i", "c", "outer", "n", F.size("tokens").alias("held"), apart), "apart")
+    # where most of the ball differs from the pivot, the ball is what members are compared with
+    most = rows.where("not outer").select(*at, "i", F.explode("apart").alias("token")).groupBy(*at, "i", "token").agg(F.count("*").alias("f")).where("2 * f > i")
+    rows = rows.join(most.groupBy(at).agg(F.collect_list("token").alias("most")), at, "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    rows = rows.withColumn("apart", F.concat(F.array_except("apart", "most"), F.array_except("most", "apart")))
+    # a and b are linked just if they have ask(a) + ask(b) differences in common, in units of 1 / 2(100 + num)
+    ask = 2 * num * F.col("n").cast("long") - (100 + num) * (F.col("held") - F.size("apart"))
+    rows = written(rows.select(*at, "c", "outer", "apart", ask.alias("ask")), "told")
+    best = rows.where("not outer").groupBy(at).agg(F.min(F.struct("ask", "c")).alias("best"))
+    met = rows.where("outer").join(best, at)
+    sure = met.where("ask + best.ask <= 0").select(F.col("c").alias("a"), F.col("best.c").alias("b"))
+    bound = met.where("ask + best.ask > 0").groupBy(at).agg(F.min("ask").alias("out_ask"), F.first("best.ask").alias("inn_ask"))
+    rows = rows.join(bound, at).withColumn("least", F.ceil((F.col("ask") + F.when(F.col("outer"), F.col("inn_ask")).otherwise(F.col("out_ask"))) / (2 * (100 + num))).cast("int"))
+    each = rows.where("least > 0 and size(apart) >= least").select(*at, "c", "outer", "least", F.explode("apart").alias("token"))
+    both = each.groupBy(*at, "token").agg(F.count("*").alias("f"), F.count_if("outer").alias("fo")).where("fo > 0 and fo < f").drop("fo")
+    first = each.join(both, [*at, "token"]).groupBy(*at, "c", "outer", "least").agg(F.sort_array(F.collect_list(F.struct("f", "token")))["token"].alias("t"))
+    first = first.where("size(t) >= least").select(*at, "c", "outer", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("least") + 1)).alias("token"))
+    first = written(first, "first")
+    met = first.where("outer").select(*at, "token", F.col("c").alias("a")).join(first.where("not outer").select(*at, "token", F.col("c").alias("b")), [*at, "token"])
+    return few.unionByName(sure).unionByName(met.select("a", "b"))
+
+
+def _round(cells: DataFrame, sets: DataFrame, num: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(links to pivots and deputies, members outside a ball that are not linked to its deputies, members inside, what is left of the cells)."""
     t, eps = 1 - num / 100, 1e-9
     drawn = [F.min_by("cid", F.struct(F.xxhash64("cid", F.lit(4 * seed + i)), "cid")).alias(f"p{i}") for i in range(3)]
     lead = F.max_by("cid", F.struct("central", "cid")).alias("lead")
@@ -117,11 +161,10 @@ def _round(cells: DataFrame, sets: DataFrame, num: int, seed: int) -> tuple[Data
     seat = F.struct("b", "nb", "lb", "fb", "bb")
     drawn = [F.min_by(seat, F.struct("lb", "b")), *(F.min_by(seat, F.struct(F.xxhash64("b", F.lit(4 * seed + i)), "b")) for i in range(3))]
     deputies = inn.groupBy("p").agg(F.array_distinct(F.array(*drawn)).alias("d")).select("p", F.explode("d").alias("d")).select("p", "d.*")
-    window = (F.col("fa") - F.col("fb") <= t + eps) & _may(num)
-    met = _verified(out.join(deputies, "p").where(window).select("a", "b").distinct(), sets).where(_linked(num)).select("a", "b")
+    met = _verified(out.join(deputies, "p").where(_window(num)).select("a", "b").distinct(), sets).where(_linked(num)).select("a", "b")
     met = written(met, "met")
     settled = met.join(deputies.select("p", "b"), "b").select("p", "a").distinct()
-    layers = out.join(settled, ["p", "a"], "left_anti").join(inn, "p").where(window).select("a", "b")
+    out = written(out.join(settled, ["p", "a"], "left_anti").withColumn("seed", F.lit(seed)), "outer")
     main = F.col("p") == F.col("lead")
     after = near.where(~F.array_contains("chosen", F.col("cid"))).groupBy("cell", "cid").agg(
         F.max("linked").alias("inside"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("central").alias("central"),
@@ -130,7 +173,7 @@ def _round(cells: DataFrame, sets: DataFrame, num: int, seed: int) -> tuple[Data
     more = after.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1").select("cell")
     left = written(after.join(more, "cell"), "cells")
     drop(near)
-    return known.where("linked").select("a", "b").unionByName(met), layers, left
+    return known.where("linked").select("a", "b").unionByName(met), out, inn.withColumn("seed", F.lit(seed)), left
 
 
 @contained
@@ -138,11 +181,12 @@ def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between ids of sets; the classes they span are those of all links."""
     facts = sets.select("cid", "n", "lone", (F.col("prefix") / F.col("n")).alias("central"))
     cells = _cells(sets.select("cid", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("cell")), facts)
-    found, pairs = [], []
+    found, outer, inner, pairs = [], [], [], []
     for seed in range(rounds):
-        linked, layers, left = _round(cells, sets, num, seed)
+        linked, out, inn, left = _round(cells, sets, num, seed)
         found.append(linked)
-        pairs.append(layers)
+        outer.append(out)
+        inner.append(inn)
         drop(cells)
         cells = left
         if cells.isEmpty():
@@ -152,7 +196,7 @@ def links(sets: DataFrame, num: int = 75, rounds: int = ROUNDS) -> DataFrame:
         pairs.append(_direct(cells.join(size.where(f"m <= {LARGE}").select("cell"), "cell"), num))
         large = cells.join(size.where(f"m > {LARGE}").select("cell"), "cell")
         pairs.append(_direct(_cells(_opened(large, sets), facts), num))
-    edges = sets.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    edges = _layers(functools.reduce(DataFrame.unionByName, outer), functools.reduce(DataFrame.unionByName, inner), sets, num)
     for p in pairs:
         edges = edges.unionByName(p)
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

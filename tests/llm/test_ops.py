@@ -21,6 +21,7 @@ from lectern.llm import op07_exact_substrings as op7
 from lectern.llm import op08_license_scan as op8
 from lectern.llm import op09_decontaminate as op9
 from lectern.llm import op10_toxicity as op10
+from lectern.llm.common import components, written
 
 SCHEMA = "doc_id long, text string, a long, b string, cid long, row string"
 
@@ -301,6 +302,40 @@ def test_op1_large_cells_opened_anew(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 20
 
 
+def test_op1_wide_layers_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """A ball of near copies and many texts around it: few pairs are verified, and the classes are those of all links."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    other = base[:]
+    for i in range(0, 150, 9):
+        other[i] = f"o{i}"
+
+    def edited(words, places):
+        w = words[:]
+        for i in rng.sample(range(150), places):
+            w[i] = f"e{i}x{rng.randrange(3)}"
+        return " ".join(w)
+
+    texts = [" ".join(base)] + [edited(base, rng.choice([1, 2])) for _ in range(200)] + [edited(base, rng.randint(5, 7)) for _ in range(200)]
+    texts += [edited(other, 2) for _ in range(10)]
+    sets = [shingle_set(t) for t in texts]
+    want = classes(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    seen = []
+    verified = op1._verified
+    monkeypatch.setattr(op1, "_verified", lambda pairs, sets: (seen.append(pairs), verified(pairs, sets))[1])
+    monkeypatch.setattr(op1, "drop", lambda df: None)
+    made = written(op1.index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "sets")
+    edges = written(op1.links.__wrapped__(made.where("kind = 1").select("cid", "n", "lone", "prefix", "tokens")), "edges")
+    # the last call verifies what the layers and the rest of the cells gave
+    assert seen[-1].count() < 60 * len(texts)
+    comp = {r["id"]: r["component"] for r in components(edges).collect()}
+    of = {r["doc_id"]: r["cid"] for r in made.where("kind = 0").collect()}
+    got = defaultdict(set)
+    for i in want:
+        got[comp.get(of[i], of[i])].add(i)
+    assert {i: min(g) for g in got.values() for i in g} == want and len(set(want.values())) > 5
+
+
 def test_op4_bands_are_tuned():
     for share in (0.5, 0.75, 0.9):
         bands, rows = op4.tuned(share, 0.99)
