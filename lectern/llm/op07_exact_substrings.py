@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import buckets, table, written
+from .common import buckets, release, table, written
 from .shingle_index import pack, unpack
 
 LENGTH, ANCHOR = 200, 32
@@ -106,12 +106,25 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
-def _send(keys: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple]:
+def _send(keys: np.ndarray, columns: list[np.ndarray], parts: int, form=lambda *c: c) -> list[tuple]:
     # an anchor's hash is the least of a window, so nearly all of them are small: mixed again, they spread over all parts
     part = _part(K.mix(keys), parts)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(p, pack(keys[o], *(c[o] for c in columns))) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
+    return [(p, pack(keys[o], *form(*(c[o] for c in columns)))) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
+
+
+def _thin(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries in the order of their texts: each run's row and length, and the halves of the numbers, as the upper one is mostly 0."""
+    at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    return row[at], np.diff(np.concatenate((at, [len(row)]))).astype(np.int32), number.astype(np.uint16), (number >> 16).astype(np.uint16)
+
+
+def _thick(row: np.ndarray, run: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(row, run), low.astype(np.int32) | high.astype(np.int32) << 16
+
+
+_THIN = (np.uint64, np.int64, np.int32, np.uint16, np.uint16)
 
 
 def _deal_anchors(parts: int, length: int):
@@ -181,7 +194,9 @@ def _judge_anchors(parts: int):
 
 def _judge_windows(parts: int):
     def run(t: pa.Table) -> pa.Table:
-        h, row, number = (np.concatenate(c) for c in zip(*(unpack(x.as_py(), np.uint64, np.int64, np.int32) for x in t.column("payload")), strict=True))
+        got = [unpack(x.as_py(), *_THIN) for x in t.column("payload")]
+        h, row, number = (np.concatenate(c) for c in zip(*((g[0], *_thick(*g[1:])) for g in got), strict=True))
+        del got
         on = _counts(h) > 1
         return _reply(parts, row[on], number[on], np.ones(int(on.sum()), np.int8))
 
@@ -278,7 +293,7 @@ def _deal_windows(parts: int, length: int):
 
         def flush() -> pa.RecordBatch:
             keys, *cols = (np.concatenate(c) for c in zip(*held, strict=True))
-            return _packed(_send(keys, cols, parts))
+            return _packed(_send(keys, cols, parts, _thin))
 
         for b in batches:
             for row, text, spans in zip(b.column(0), b.column(1), b.column(2), strict=True):
@@ -323,9 +338,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True, car
     states = dealt.groupBy("part").applyInArrow(K.tidy(_judge_anchors(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW)
     texts = base.join(states, "row", "left").select("doc_id", "row", "text", "numbers", "states", "carry")
     settled = written(texts.mapInArrow(K.tidy(_resolve(length, keep)), _OPEN.format(kind)), "matches")
+    del dealt, states, texts
+    release(docs.sparkSession)  # the shuffles up to here are not read again
     rims = settled.where("text is not null")
     told = rims.select("row", "text", "open").mapInArrow(K.tidy(_deal_windows(parts, length)), PACKED)
-    told = told.groupBy("part").applyInArrow(K.tidy(_judge_windows(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW).select("row", "numbers")
+    told = written(told.groupBy("part").applyInArrow(K.tidy(_judge_windows(parts)), PACKED).groupBy("part").applyInArrow(K.tidy(_by_row), _BY_ROW).select("row", "numbers"), "windows")
+    release(docs.sparkSession)  # the windows go before the texts move
     cut = rims.join(told, "row", "left").select("doc_id", "row", "text", "sure", "open", "numbers", "carry").mapInArrow(K.tidy(_finish(length, keep)), RESULT.format(kind))
     return cut.unionByName(settled.where("text is null").select(*_NAMES[:8]))
 

@@ -412,6 +412,26 @@ def cut_by_hand(texts, length):
     return out
 
 
+def test_op7_windows_travel_in_few_bytes():
+    """Open windows are dealt out in less than 16 bytes each, and those that occur twice come back by their numbers."""
+    rng = random.Random(13)
+    text = bytes(rng.randrange(97, 123) for _ in range(80_000))
+    n = len(text) - 199
+    spans = np.array([[0, n - 1]], np.int64).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([5, -7], pa.int64()), pa.array([text, text], pa.binary()), pa.array([spans] * 2, pa.binary())], names=["row", "text", "open"])
+    sent = [pa.Table.from_batches([b]) for b in op7._deal_windows(3, 200)([batch])]
+    assert sum(len(x) for t in sent for x in t.column("payload").to_pylist()) < 16 * 2 * n
+    got = defaultdict(set)
+    for t in sent:
+        for part in t.column("part").to_pylist():
+            reply = op7._judge_windows(3)(t.filter(pa.array([x == part for x in t.column("part").to_pylist()])))
+            for x in reply.column("payload").to_pylist():
+                row, number, _ = op7.unpack(x, np.int64, np.int32, np.int8)
+                for r, k in zip(row.tolist(), number.tolist()):
+                    got[r].add(k)
+    assert got == {5: set(range(n)), -7: set(range(n))}
+
+
 @pytest.mark.parametrize("length", [200, 60])
 def test_op7(docs, empty, length):
     rows = corpus()
